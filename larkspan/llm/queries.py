@@ -5,16 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspan.llm.near_dedup import near_dedup
+from larkspan.llm.sharding import shard_documents
+from larkspan.llm.warc import read_warc, write_warc
+from larkspan.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives in the shared folder and read back."""
+    uri = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), uri)
+    return read_warc(spark, uri)
+
+
+def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes, equal texts together."""
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: four-word shingles, similarity of 0.8 or more."""
     return near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {"op6_near_dedup": op6_near_dedup}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op5_shard_documents": op5_shard_documents,
+    "op6_near_dedup": op6_near_dedup,
+}
+
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS lead FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id < lead THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < lead THEN lead END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)""",
+}
