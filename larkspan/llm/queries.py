@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspan.llm.chat import format_chats, read_chats
 from larkspan.llm.near_dedup import near_dedup
+from larkspan.llm.secrets import scan_secrets
 from larkspan.llm.sharding import shard_documents
 from larkspan.llm.warc import read_warc, write_warc
-from larkspan.session import scratch_path
+from larkspan.session import materialize, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +33,25 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says the template's own control strings, formatted and read back."""
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return read_chats(materialize(format_chats(turns), "windows"))
+
+
+def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of documents."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op5_shard_documents": op5_shard_documents,
     "op6_near_dedup": op6_near_dedup,
+    "op7_chat_windows": op7_chat_windows,
+    "op10_scan_secrets": op10_scan_secrets,
 }
 
 ORACLES: dict[str, str] = {
