@@ -11,7 +11,9 @@ from larkspan.llm.near_dedup import near_dedup
 from larkspan.llm.quality import classify_quality
 from larkspan.llm.secrets import scan_secrets
 from larkspan.llm.sharding import shard_documents
+from larkspan.llm.url_filter import judge_urls, labelled_table
 from larkspan.llm.warc import read_warc, write_warc
+from larkspan.llm.winnowing import fingerprint_edits
 from larkspan.session import materialize, scratch_path
 
 
@@ -61,6 +63,16 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chats(materialize(format_chats(turns), "windows"))
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op9_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for the url of every page."""
+    return judge_urls(table(spark, sf_dir, "pages"), labelled_table(spark))
+
+
 def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of documents."""
     return scan_secrets(table(spark, sf_dir, "documents"))
@@ -74,6 +86,8 @@ QUERIES = {
     "op5_shard_documents": op5_shard_documents,
     "op6_near_dedup": op6_near_dedup,
     "op7_chat_windows": op7_chat_windows,
+    "op8_winnowing": op8_winnowing,
+    "op9_judge_urls": op9_judge_urls,
     "op10_scan_secrets": op10_scan_secrets,
 }
 
