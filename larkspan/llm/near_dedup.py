@@ -109,21 +109,35 @@ def _leader_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes of different components that share one of their rarest shingles.
-
-    Sets that pass the threshold share one of the n - ceil(n * percent / 100) + 1
-    shingles that come first in any one order of all shingles.
+    """(a, b): classes of different components that may pass, by shingles that come first in one order, rarest first.
+
+    Of two sets that pass, each has one of the common shingles among its first
+    n - least + 1, where least is the least overlap that its size allows: with
+    any partner for the larger set, with a partner at least its own size for
+    the smaller. Shingles that one set alone has cannot be common, which bounds
+    the overlap from above. Of a shingle's components, the largest is paired
+    with the others only.
     """
     grams = sets.join(open_, "id").select("id", "n", "component", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
     ranked = grams.join(often, "gram").groupBy("id", "n", "component").agg(F.sort_array(F.collect_set(F.struct("often", "gram"))).alias("all"))
-    prefix = ranked.select("id", "n", "component", F.explode(F.slice("all", F.lit(1), (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int"))).alias("one"))
-    prefix = materialize(prefix.where("one.often > 1").select("id", "n", "component", F.col("one.gram").alias("gram")), "prefix")
+    ranked = ranked.withColumn("most", F.size(F.filter("all", lambda g: g["often"] > 1)))
+    first = lambda per: (F.col("n") - F.ceil(F.col("n") * per) + 1).cast("int")
+    overlap = 2.0 * percent / (100 + percent)
+    # a hair less than the exact share, so that rounding can only lengthen a prefix
+    ranked = ranked.where(F.col("most") >= F.floor(F.col("n") * (percent / 100 - 1e-9)))
+    lead = F.posexplode(F.slice("all", F.lit(1), first(percent / 100 - 1e-9))).alias("at", "one")
+    prefix = ranked.select("id", "n", "component", "most", lead, first(overlap - 1e-9).alias("short"))
+    prefix = prefix.where("one.often > 1").select("id", "n", "component", "most", F.col("one.gram").alias("gram"), (F.col("at") < F.col("short")).alias("as_smaller"))
+    prefix = materialize(prefix, "prefix")
     shared = prefix.groupBy("gram", "component").agg(F.count("*").alias("many"))
-    most = shared.groupBy("gram").agg(F.max_by("component", F.struct("many", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    few = prefix.join(most, "gram").where("component <> most").select("gram", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    pairs = few.join(prefix, "gram").where("component <> cx").where(_close("n", "nx", percent))
-    return pairs.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()
+    kinds = shared.groupBy("gram").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+    few = prefix.join(kinds, "gram").where("component <> largest")
+    few = few.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "component", "most", "as_smaller")))
+    reach = F.least("most", "x_most") * (100 + percent) >= percent * (F.col("n") + F.col("x_n"))
+    role = F.when(F.col("x_n") > F.col("n"), F.col("as_smaller")).when(F.col("x_n") < F.col("n"), F.col("x_as_smaller")).otherwise(F.col("as_smaller") & F.col("x_as_smaller"))
+    pairs = few.join(prefix, "gram").where("component <> x_component").where(_close("n", "x_n", percent) & role & reach)
+    return pairs.select(F.greatest("id", "x_id").alias("a"), F.least("id", "x_id").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
