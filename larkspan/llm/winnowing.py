@@ -4,8 +4,9 @@ Every gram of K code points has a hash; of each W grams in a row the least is
 kept, the rightmost of equals, with its place. Two texts that share K + W - 1
 code points in a row share a kept gram.
 
-A gram's 35-bit hash and its place are packed into one integer, hash * 2 ** 28
-minus place: a window's least integer is its least hash at the rightmost place.
+A gram's 31-bit hash and its place (in bytes of UTF-32) are packed into one
+integer, hash * 2 ** 32 minus place: a window's least integer is its least hash
+at the rightmost place.
 Window minima come from five rounds of pairwise minima over doubling distances.
 """
 
@@ -14,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.llm.grams import code_points, gram_hash, let, map_grams
+from larkspan.llm.grams import code_points, let
 from larkspan.llm.ranges import MAX_BLOCKS, block_of, range_bounds
 
 K, W = 16, 32
-_SHIFT = 28
+_SHIFT = 32
 #: Documents to a block of neighbours.
 BLOCK_ROWS = 256
 
@@ -34,20 +35,25 @@ def _minima(values: Column, width: int, have: int = 1) -> Column:
 
 def winnow(text: Column, offset: Column | None = None) -> Column:
     """The kept grams of a text, packed, in order of place; places count from offset."""
-    offset = F.lit(0) if offset is None else offset
 
-    def packed(points: Column) -> Column:
-        return map_grams(points, K, lambda i: F.shiftleft(F.shiftrightunsigned(gram_hash(points, i, K), 29), _SHIFT) - i - offset)
+    def packed(points: Column, first: Column) -> Column:
+        n = F.length(points)
+        ends = F.sequence(F.lit(1), F.greatest(n - (4 * K - 1), F.lit(1)), F.lit(4))  # places in bytes
+        return F.when(n > 0, F.transform(ends, lambda b: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substring(points, b, F.lit(4 * K))), 33), _SHIFT) - b - first)).otherwise(F.array().cast("array<bigint>"))
 
-    return let(let(code_points(text), packed), lambda v: F.when(F.size(v) > 0, F.array_distinct(_minima(v, W))).otherwise(v))
+    bound = F.struct(code_points(text).alias("points"), (F.lit(-1) if offset is None else offset * 4 - 1).cast("bigint").alias("first"))
+    grams = let(bound, lambda s: let(s["points"], lambda p: let(s["first"], lambda f: packed(p, f))))
+    # a window's minimum repeats only in the windows right after it
+    changes = lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1)))
+    return let(grams, lambda v: F.when(F.size(v) > 0, let(_minima(v, W), changes)).otherwise(v))
 
 
 def place(kept: Column) -> Column:
-    return F.pmod(-kept, F.lit(1 << _SHIFT))
+    return F.shiftrightunsigned(F.pmod(-kept, F.lit(1 << _SHIFT)), 2).cast("int")
 
 
 def hash_of(kept: Column) -> Column:
-    return F.shiftright(kept + place(kept), _SHIFT)
+    return F.shiftright(kept + F.pmod(-kept, F.lit(1 << _SHIFT)), _SHIFT)
 
 
 def winnow_edited(text: Column, kept: Column, size: Column, tail: Column) -> Column:
@@ -57,16 +63,20 @@ def winnow_edited(text: Column, kept: Column, size: Column, tail: Column) -> Col
     text's kept grams up to the place that the last such window keeps. Only
     windows that reach into the tail are computed.
     """
-    inner = size - (K + W - 2)  # windows wholly in the first part
 
-    def start(v: Column) -> Column:
-        last = F.filter(kept, lambda g: (place(g) >= v - 1) & (place(g) <= v + (W - 2)))
-        return F.filter(kept, lambda g: place(g) <= place(F.array_min(last)))
+    def start(inner: Column) -> Column:
+        last = F.array_min(F.filter(kept, lambda g: place(g).between(inner - 1, inner + (W - 2))))
+        return let(place(last), lambda end: F.filter(kept, lambda g: place(g) <= end))
 
-    rest = F.concat(F.substring(text, inner + 1, F.lit(K + W - 2)), tail)
-    after = F.when(F.length(tail) > 0, winnow(rest, inner.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    both = F.array_distinct(F.concat(let(inner, start), after))
-    return F.when(inner > 0, both).otherwise(winnow(F.concat(F.substring(text, F.lit(1), size), tail)))
+    def whole(s: Column) -> Column:
+        inner, more = s["inner"], s["tail"]
+        rest = F.concat(F.substring(text, inner + 1, F.lit(K + W - 2)), more)
+        after = F.when(F.length(more) > 0, winnow(rest, inner)).otherwise(F.array().cast("array<bigint>"))
+        both = F.array_distinct(F.concat(let(inner, start), after))
+        return F.when(inner > 0, both).otherwise(winnow(F.concat(F.substring(text, F.lit(1), s["size"]), more)))
+
+    # windows wholly in the first part: its length less K + W - 2
+    return let(F.struct((size - (K + W - 2)).alias("inner"), size.alias("size"), tail.alias("tail")), whole)
 
 
 def fingerprint(kept: Column) -> Column:
@@ -109,9 +119,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     down, replaced by as many from the start of the next row's text, by id
     (nulls first), then text; the last row's next is the first. A null text is
     empty: empty fingerprints, likeness 1 to another empty one and 0 to any
-    other. Equal texts have equal fingerprints. Places hold for texts of up to
-    2 ** 28 code points. An empty table gives an empty result. Other columns
-    are not read.
+    other. Equal texts have equal fingerprints. An empty table gives an empty
+    result. Other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     both = _with_next(source)
