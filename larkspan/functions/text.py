@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 WORD, WORD_ASCII = r"(?U)\w+|[^\w\s]", r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
 # fixed value: ticket numbers that change from row to row
 VOLATILE = r"(?i)\b(?:syn|demo|lab|qa)-\d{5}-[a-z0-9]+\b"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_unicode(text: pd.Series) -> pd.Series:
     """NFKC, case-folded, white space collapsed and stripped. Spark has no NFKC, so Arrow batches."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))

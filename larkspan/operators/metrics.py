@@ -14,7 +14,8 @@ def count_of(verdict: str) -> Column:
     return F.count_if(F.col("verdict") == verdict).alias(verdict)
 
 
-COUNTS = [count_of(v) for v in ("tp", "fp", "fn")]
+def verdict_counts() -> list[Column]:
+    return [count_of(v) for v in ("tp", "fp", "fn")]
 
 
 def rated(counts: DataFrame, ratio=ratio_or_zero) -> DataFrame:
@@ -24,30 +25,30 @@ def rated(counts: DataFrame, ratio=ratio_or_zero) -> DataFrame:
 
 def recall_overall(facts: DataFrame) -> DataFrame:
     """One row; facts of an unknown or no category count too."""
-    return rated(facts.agg(*COUNTS))
+    return rated(facts.agg(*verdict_counts()))
 
 
 def recall_by_category(facts: DataFrame, categories: DataFrame) -> DataFrame:
     """One row for each category of the dimension (category, ordinal), also for those without a fact."""
-    counts = facts.groupBy("category").agg(*COUNTS)
+    counts = facts.groupBy("category").agg(*verdict_counts())
     zeroed = [F.coalesce(F.col(v), F.lit(0)).alias(v) for v in ("tp", "fp", "fn")]
     return rated(categories.join(counts, "category", "left").select("ordinal", "category", *zeroed))
 
 
 def recall_by(facts: DataFrame, *keys: str) -> DataFrame:
-    return rated(facts.groupBy(*keys).agg(*COUNTS))
+    return rated(facts.groupBy(*keys).agg(*verdict_counts()))
 
 
 def recall_by_tier(facts: DataFrame, tier_col: str = "tier") -> DataFrame:
     """Always the three tiers; a fact of another tier is in none of them."""
     tiers = facts.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(TIERS)) + " AS t(tier, ordinal)")
-    counts = facts.groupBy(F.col(tier_col).alias("tier")).agg(*COUNTS)
+    counts = facts.groupBy(F.col(tier_col).alias("tier")).agg(*verdict_counts())
     return rated(tiers.join(counts, "tier", "left").select("ordinal", "tier", *(F.coalesce(F.col(v), F.lit(0)).alias(v) for v in ("tp", "fp", "fn"))))
 
 
 def recall_rollup(facts: DataFrame, row_col: str = "row_index") -> DataFrame:
     """(dimension, key, tp, fp, fn): by category, by row and overall in one pass over the facts."""
-    sets = facts.groupingSets([["category"], [row_col], []], "category", row_col).agg(F.grouping_id().alias("g"), *COUNTS)
+    sets = facts.groupingSets([["category"], [row_col], []], "category", row_col).agg(F.grouping_id().alias("g"), *verdict_counts())
     named = F.when(F.col("g") == 1, "category").when(F.col("g") == 2, "row").otherwise("overall")
     key = F.when(F.col("g") == 1, F.col("category")).when(F.col("g") == 2, F.col(row_col).cast("string")).otherwise("")
     return sets.select(named.alias("dimension"), key.alias("key"), "tp", "fp", "fn")
@@ -79,7 +80,7 @@ def unmapped_types(facts: DataFrame, row_col: str = "row_index") -> DataFrame:
 def finance_categories(facts: DataFrame, categories: DataFrame) -> DataFrame:
     """Percents by category, null where a denominator is 0; facts of no category are UNMAPPED."""
     named = facts.withColumn("category", F.coalesce("category", F.lit("UNMAPPED")))
-    counts = named.groupBy("category").agg(*COUNTS)
+    counts = named.groupBy("category").agg(*verdict_counts())
     every = categories.select("category", "ordinal").unionByName(facts.sparkSession.sql("SELECT 'UNMAPPED' AS category, 1000 AS ordinal"))
     zeroed = [F.coalesce(F.col(v), F.lit(0)).alias(v) for v in ("tp", "fp", "fn")]
     out = every.join(counts, "category", "left").select("ordinal", "category", *zeroed)
@@ -90,7 +91,7 @@ def finance_categories(facts: DataFrame, categories: DataFrame) -> DataFrame:
 def finance_totals(facts: DataFrame) -> DataFrame:
     """One row: totals, attributed and unmapped fp, percents with 0 on empty, and f1 of the rounded percents."""
     unmapped = F.count_if((F.col("verdict") == "fp") & F.col("category").isNull()).alias("fp_unmapped")
-    one = facts.agg(*COUNTS, unmapped).withColumn("fp_attributed", F.col("fp") - F.col("fp_unmapped"))
+    one = facts.agg(*verdict_counts(), unmapped).withColumn("fp_attributed", F.col("fp") - F.col("fp_unmapped"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     one = one.withColumns({"recall_pct": percent(tp, tp + fn), "precision_pct": percent(tp, tp + fp)})
     return one.withColumn("f1", f1_of_percents(F.col("recall_pct"), F.col("precision_pct")))
