@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspan.functions.bind import bound
+
 # fixed value: the increment of the generator's counter
 STEP = 0x6D2B79F5
 _MASK = 0xFFFFFFFF
@@ -23,10 +25,11 @@ def _times(x: Column, y: Column) -> Column:
 
 def draw32(seed: Column, k: Column) -> Column:
     """Draw k (from 1) of a seed, an integer in [0, 2 ** 32)."""
-    a = (seed.cast("long") + k.cast("long") * STEP).bitwiseAND(_MASK)
-    t = _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
-    t = t.bitwiseXOR((t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(_MASK))
-    return t.bitwiseXOR(F.shiftright(t, 14))
+    first = lambda a: _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
+    second = lambda t: t.bitwiseXOR((t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(_MASK))
+    state = (seed.cast("long") + k.cast("long") * STEP).bitwiseAND(_MASK)
+    # each step uses the one before it several times: unbound, the expression grows exponentially
+    return bound(state, lambda a: bound(first(a), lambda t: bound(second(t), lambda u: u.bitwiseXOR(F.shiftright(u, 14)))))
 
 
 def draw(seed: Column, k: Column) -> Column:
@@ -42,10 +45,14 @@ def pick_int(r: Column, low: Column | int, high: Column | int) -> Column:
 
 def weighted(r: Column, cumulative: list[tuple[str, float]]) -> Column:
     """The first category whose cumulative weight exceeds the draw; the last one beyond them all."""
-    out = F.lit(cumulative[-1][0])
-    for name, weight in reversed(cumulative[:-1]):
-        out = F.when(r < F.lit(weight), name).otherwise(out)
-    return out
+
+    def first(x: Column) -> Column:
+        out = F.lit(cumulative[-1][0])
+        for name, weight in reversed(cumulative[:-1]):
+            out = F.when(x < F.lit(weight), name).otherwise(out)
+        return out
+
+    return bound(r, first)
 
 
 def row_seed(row_index: Column, seed: int = 42) -> Column:

@@ -54,9 +54,12 @@ def resolve_overlaps(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, patterns: list[tuple], text_col: str = "text") -> Column:
     """The text with each match replaced by [TYPE_N], N counting a type's matches in the row; patterns in turn."""
+
+    def marked(text: Column, category: str, pattern: str) -> Column:
+        gaps = F.split(text, pattern, -1)
+        return F.array_join(F.transform(gaps, lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.lit(f"[{category}_"), i.cast("string"), F.lit("]"), g))), "")
+
     out = F.col(text_col)
     for category, pattern, *_ in patterns:
-        gaps = F.split(out, pattern, -1)
-        marked = F.transform(gaps, lambda g, i, c=category: F.when(i == 0, g).otherwise(F.concat(F.lit(f"[{c}_"), i.cast("string"), F.lit("]"), g)))
-        out = F.array_join(marked, "")
+        out = marked(out, category, pattern)
     return out

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.functions.bind import bound
 from larkspan.functions.rng import draw, pick_int, row_seed, weighted
 from larkspan.functions.text import pad_left
 
@@ -23,20 +24,23 @@ _CITIES = "Arden Brenta Corvin Delmar Eastvale Fenwick Garmond Hollis".split()
 
 def plan(text: Column, row_index: Column, weights: list[tuple[str, float]], seed: int = 42) -> Column:
     """array<struct(position, category)> for one row, by ascending position."""
+
+    def planned(r: Column) -> Column:
+        own, target, length = r["own"], r["target"], r["length"]
+        raw = F.transform(F.sequence(F.lit(1), target * TRIES), lambda j: pick_int(draw(own, j + 1), 0, length))
+
+        def categories(d: Column) -> Column:
+            last = F.array_position(d["drawn"], F.element_at(d["kept"], -1))
+            used = F.when(F.size(d["kept"]) == target, last).otherwise(F.size(d["drawn"]))
+            one = lambda u: F.transform(F.array_sort(d["kept"]), lambda p, i: F.struct(p.cast("int").alias("position"), weighted(draw(own, u + i + 2), weights).alias("category")))
+            return bound(used, one)
+
+        return bound(raw, lambda drawn: bound(F.struct(drawn.alias("drawn"), F.slice(F.array_distinct(drawn), F.lit(1), target).alias("kept")), categories))
+
     own = row_seed(row_index, seed)
     target = pick_int(draw(own, F.lit(1)), LEAST, MOST).cast("int")
     length = F.greatest(F.length(text), F.lit(1))
-    raw = F.transform(F.sequence(F.lit(1), target * TRIES), lambda j: pick_int(draw(own, j + 1), 0, length))
-
-    def chosen(drawn: Column) -> Column:
-        kept = F.slice(F.array_distinct(drawn), F.lit(1), target)
-        used = F.when(F.size(kept) == target, F.array_position(drawn, F.element_at(kept, -1))).otherwise(F.size(drawn))
-        return F.transform(
-            F.array_sort(kept),
-            lambda p, i: F.struct(p.cast("int").alias("position"), weighted(draw(own, used + i + 2), weights).alias("category")),
-        )
-
-    return F.element_at(F.transform(F.array(raw), chosen), 1)
+    return bound(F.struct(own.alias("own"), target.alias("target"), length.alias("length")), planned)
 
 
 def _pick(words: list[str], number: Column) -> Column:

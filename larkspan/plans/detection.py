@@ -26,7 +26,7 @@ def _spans(category: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _, pattern, _ = _BY_NAME[category]
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(spans(F.col("text"), pattern)).alias("ordinal", "s"))
-    return docs.select("doc_id", F.col("ordinal").cast("long"), F.col("s.start").cast("long"), F.col("s.end").cast("long"), "s.value")
+    return docs.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.value")
 
 
 def pii_counts_by_type_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def pii_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans("CARD", spark, sf_dir).select("doc_id", "value", F.luhn_check("value").alias("valid"))
+    return _spans("CARD", spark, sf_dir).select("doc_id", "value", F.call_function("luhn_check", F.col("value")).alias("valid"))
 
 
 def redact_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def placeholder_parse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_spans_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of benchmark items with offsets, ASCII words."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(token_spans(F.col("text"), ascii_only=True)).alias("ordinal", "s"))
-    return rows.select("item_id", F.col("ordinal").cast("long"), F.col("s.start").cast("long"), F.col("s.end").cast("long"), "s.value")
+    return rows.select("item_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.value")
 
 
 def canonical_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,7 @@ ORACLES = {
 SELECT lang, sum({_COUNT_ALL})::BIGINT AS n, sum(greatest(1, len(regexp_extract_all(text, '\\S+'))))::BIGINT AS tokens FROM documents GROUP BY lang)""",
     "pii_by_tier": f"WITH {_ALL_SPANS} SELECT {sql.mapped(sql.mapped('category', {'CARD': 'CC', 'IP_ADDRESS': 'ID'}, 'category'), TYPE_TO_TIER)} AS tier, count(*) AS n FROM ({_UNION}) GROUP BY 1",
     "card_luhn_valid": f"""WITH {sql.spans('documents', 'doc_id', _BY_NAME['CARD'][1])}
-SELECT doc_id, value, list_sum(list_transform(range(1, 17), i -> CASE WHEN i % 2 = 1 THEN CASE WHEN substr(value, i, 1)::INT * 2 > 9 THEN substr(value, i, 1)::INT * 2 - 9 ELSE substr(value, i, 1)::INT * 2 END ELSE substr(value, i, 1)::INT END)) % 10 = 0 AS valid FROM s""",
+SELECT doc_id, value, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN substr(value, i, 1)::INT * 2 > 9 THEN substr(value, i, 1)::INT * 2 - 9 ELSE substr(value, i, 1)::INT * 2 END ELSE substr(value, i, 1)::INT END)) % 10 = 0 AS valid FROM s""",
     "redact_placeholders": _redact_sql(),
     "placeholder_parse_map": f"""WITH v AS (SELECT '[' || (['PERSON', 'EMAIL', 'CC', 'DOB', 'URL', 'ID', 'SECRET', 'A_B'])[i % 8 + 1] || '_' || i || CASE WHEN i % 3 = 2 THEN '' ELSE ']' END AS placeholder FROM range(24) t(i)),
 k AS (SELECT placeholder, nullif(regexp_extract(placeholder, '^\\[(.+)_([0-9]+)\\]$', 1), '') AS type FROM v)

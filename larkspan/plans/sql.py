@@ -28,7 +28,7 @@ def spans(table: str, key: str, pattern: str, name: str = "s", text: str = "text
     more = f", {keep}" if keep else ""
     return f"""{name}_m AS (SELECT {key}{more}, regexp_extract_all({text}, '{p}') AS f, string_split_regex({text}, '{p}') AS g FROM {table}),
 {name}_e AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM {name}_m),
-{name}_p AS (SELECT *, list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(f[1:i-1], x -> length(x))), 0) AS b FROM {name}_e),
+{name}_p AS (SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0) AS b FROM {name}_e),
 {name} AS (SELECT {key}{more}, (i - 1)::BIGINT AS ordinal, b::BIGINT AS start, (b + length(f[i]))::BIGINT AS "end", f[i] AS value FROM {name}_p)"""
 
 
