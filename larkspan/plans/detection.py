@@ -145,7 +145,7 @@ def _redact_sql() -> str:
     text = "text"
     for category, pattern, _ in COMMON_PATTERNS:
         p = pattern.replace("'", "''")
-        text = f"array_to_string(list_transform(string_split_regex({text}, '{p}'), (g, i) -> CASE WHEN i = 1 THEN g ELSE '[{category}_' || (i - 1) || ']' || g END), '')"
+        text = f"array_to_string(list_transform(string_split_regex({text}, '{p}'), lambda g, i: CASE WHEN i = 1 THEN g ELSE '[{category}_' || (i - 1) || ']' || g END), '')"
     return f"SELECT doc_id, md5({text}) AS redacted_md5 FROM documents"
 
 
