@@ -137,7 +137,8 @@ def inject(carriers: DataFrame, weights: list[tuple[str, float]], row_col: str =
     start = F.struct(F.lit(0).alias("from"), F.lit(0).alias("shift"), F.lit("").alias("text"), empty.alias("out"))
 
     def step(a: Column, p: Column) -> Column:
-        at = p["position"] + a["shift"] + 1
+        # an empty text has a place 1 too, but no sign before it
+        at = F.least(p["position"], F.length(text)) + a["shift"] + 1
         one = F.struct(p["category"].alias("category"), p["value"].alias("value"), at.alias("start_char"), (at + F.length(p["value"])).alias("end_char"))
         grown = F.concat(a["text"], F.substring(text, a["from"] + 1, p["position"] - a["from"]), F.lit(" "), p["value"], F.lit(" "))
         return F.struct(p["position"].alias("from"), (a["shift"] + F.length(p["value"]) + 2).alias("shift"), grown.alias("text"), F.array_append(a["out"], one).alias("out"))
