@@ -182,6 +182,8 @@ def regions(index: Index, texts: list[str]):
     text = np.searchsorted(cuts, where, "right") - 1
     inside = where + Q <= cuts[text + 1]
     where, item, place, text = where[inside], item[inside], place[inside], text[inside]
+    if not len(text):
+        return
     edges = np.flatnonzero(np.diff(text, prepend=-1))
     for a, b in zip(edges, np.append(edges[1:], len(text)), strict=True):
         if b - a < index.bound.min():
