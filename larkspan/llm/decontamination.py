@@ -4,8 +4,8 @@ A passage of at least WINDOW normalised characters of a benchmark item (the
 whole item, if it is shorter) that occurs in a text with at most k edits shares
 WINDOW + 1 - q (k + 1) of its q-grams with it, all within k diagonals. One pass
 over each text hashes its q-grams, looks them up, deals the shared ones into
-overlapping bands of diagonals, and keeps a band's regions that reach the
-bound; banded alignment verifies these.
+overlapping bands of diagonals, and keeps a band's passages that reach the
+bound; banded alignment verifies these, and those that touch are one region.
 
 Normalised: letters and digits in lower case, every run of others one space.
 """
@@ -104,32 +104,129 @@ class Index:
         return np.repeat(maybe, many), self.item[at], self.place[at]
 
 
-def banded_distance(passage: np.ndarray, text: np.ndarray, low: int, high: int, limit: int) -> tuple[int, int] | None:
-    """(edits, end) of the cheapest occurrence of the passage in the text on diagonals low..high, or None over the limit.
+def _edit_rows(passages: np.ndarray, text: np.ndarray, base: np.ndarray, width: int):
+    """The rows of edits before the first sign of every passage and after each; column w of row i stands for the text place base + w + i.
 
-    The occurrence may begin and end anywhere; a diagonal is text place less
-    passage place.
+    An occurrence may begin anywhere; what the band reaches beyond the text
+    equals no sign.
     """
-    width = np.arange(high - low + 1)
-    big = 1 << 20
-    row = np.where((low + width >= 0) & (low + width <= len(text)), 0, big)
-    for i, sign in enumerate(passage):
-        at = low + width + i  # text place that the diagonal step would consume
-        inside = (at >= 0) & (at < len(text))
-        same = np.full(len(width), True)
-        same[inside] = text[at[inside]] != sign
-        down = np.concatenate([row[1:], [big]]) + 1  # the passage's sign is left out
-        new = np.minimum(np.where(inside, row + same, big), down)
-        new = np.minimum.accumulate(new - width) + width  # a sign of the text is extra
-        row = np.where((at + 1 >= 0) & (at + 1 <= len(text)), new, big)
-        if row.min() > limit:
-            return None
-    best = int(row.argmin())
-    return int(row[best]), low + best + len(passage)
+    at = base[:, None] + np.arange(passages.shape[1] + width - 1)
+    there = np.where((at >= 0) & (at < len(text)), text[np.clip(at, 0, len(text) - 1)], np.uint32(0xFFFFFFFF))
+    steps = np.arange(width, dtype=np.int32)
+    down = np.full((len(base), width), 1 << 28, np.int32)
+    row = np.zeros((len(base), width), np.int32)
+    yield row
+    for i in range(passages.shape[1]):
+        down[:, :-1] = row[:, 1:] + 1  # the passage's sign is left out
+        new = np.minimum(row + (there[:, i : i + width] != passages[:, i, None]), down) - steps
+        row = np.minimum.accumulate(new, axis=1) + steps  # a sign of the text is extra
+        yield row
+
+
+def windows(item: np.ndarray, starts: np.ndarray, n: int, text: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of the cheapest occurrence in the text of each window of n signs of the item on diagonals low..high.
+
+    A diagonal is text place less item place.
+    """
+    for row in _edit_rows(item[starts[:, None] + np.arange(n)], text, starts + low, high - low + 1):
+        pass
+    best = row.argmin(axis=1)
+    return row[np.arange(len(starts)), best], np.clip(starts + low + best + n, 0, len(text))
+
+
+def align(passage: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
+    """(first, last, start, end, edits): the stretch of the passage, and of the text, that agree best on diagonals low..high.
+
+    Of the cheapest alignment of the whole passage, the run with the most
+    equal signs less edits; it begins and ends with equal signs.
+    """
+    rows = [r[0] for r in _edit_rows(passage[None], text, np.array([low]), high - low + 1)]
+    i, w, way = len(passage), int(rows[-1].argmin()), []
+    while i:
+        at = low + w + i - 1  # text place of the diagonal step
+        differs = not (0 <= at < len(text) and text[at] == passage[i - 1])
+        if rows[i][w] == rows[i - 1][w] + differs:
+            i -= 1
+            way.append((i, at, not differs))
+        elif w + 1 < len(rows[i]) and rows[i][w] == rows[i - 1][w + 1] + 1:
+            i, w = i - 1, w + 1
+            way.append((i, at + 1, False))
+        else:
+            w -= 1
+            way.append((i, at, False))
+    way.reverse()
+    score = np.concatenate([[0], np.cumsum([1 if same else -1 for *_, same in way])])
+    gain = score - np.minimum.accumulate(score)
+    last = int(gain.argmax())
+    first = last - int(score[last::-1].argmin())
+    run = way[first:last]
+    return run[0][0], run[-1][0] + 1, run[0][1], run[-1][1] + 1, sum(not same for *_, same in run)
+
+
+def _pieces(item: np.ndarray, n: int, k: int, bound: int, where: np.ndarray, place: np.ndarray, low: int, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first, last, start, end) of item and text where the windows that verify in one band from diagonal low touch each other.
+
+    where and place are the band's shared q-grams. A window and its band fix
+    the stretch of text, so each window is tried once.
+    """
+    grams = n - Q + 1
+    has = np.zeros(len(item) - Q + 1, np.int64)
+    has[place] = 1
+    total = np.concatenate([[0], np.cumsum(has)])
+    starts = np.flatnonzero(total[grams:] - total[:-grams] >= bound)
+    if not len(starts):
+        return []
+    ends = np.full(len(item) - n + 1, -1, np.int64)
+    order = np.lexsort((place, where - place))
+    diagonal, along = (where - place)[order], place[order]
+    if len(along) >= grams:  # windows that stand in the text as they are
+        whole = (along[grams - 1 :] - along[: len(along) - grams + 1] == grams - 1) & (diagonal[grams - 1 :] == diagonal[: len(along) - grams + 1])
+        at = np.flatnonzero(whole)
+        ends[along[at]] = along[at] + diagonal[at] + n
+    rest = starts[ends[starts] < 0]
+    if len(rest):
+        edits, end = windows(item, rest, n, codes, low - k, low + 2 * k + 1 + k)
+        ends[rest[edits <= k]] = end[edits <= k]
+    starts = np.flatnonzero(ends >= 0)
+    if not len(starts):
+        return []
+    begins = np.maximum(ends[starts] - n, 0)
+    cut = np.flatnonzero((np.diff(starts) > n) | (begins[1:] > np.maximum.accumulate(ends[starts])[:-1]))
+    out = []
+    for a, b in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(starts) - 1], strict=True):
+        out.append((int(starts[a]), int(starts[b]) + n, int(begins[a : b + 1].min()), int(ends[starts[a : b + 1]].max())))
+    return out
+
+
+def _top(region: dict) -> dict:
+    """The region that this one was joined into at last."""
+    while "into" in region:
+        region = region["into"]
+    return region
+
+
+def _fit(index: Index, codes: np.ndarray, i: int, box: list[int], bands: list[int]) -> tuple[int, int, int, int]:
+    """(item number, start, end, edits) of a stretch of the item and the text, aligned and grown as far as both go on alike."""
+    (p, r, begin, end), passage, k, edits = box, index.items[i], int(index.k[i]), 0
+    if r - p != end - begin or not np.array_equal(passage[p:r], codes[begin:end]):
+        low, high = bands[0] * (k + 1) - k, (bands[1] + 2) * (k + 1) - 1 + k
+        from_ = max(0, p + low)
+        first, last, start, stop, edits = align(passage[p:r], codes[from_ : max(0, r + high)], p + low - from_, p + high - from_)
+        p, r, begin, end = p + first, p + last, from_ + start, from_ + stop
+    while begin and p and codes[begin - 1] == passage[p - 1]:
+        begin, p = begin - 1, p - 1
+    while end < len(codes) and r < len(passage) and codes[end] == passage[r]:
+        end, r = end + 1, r + 1
+    return i, begin, end, edits
 
 
 def find(index: Index, codes: np.ndarray, where: np.ndarray, item: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(item number, start, end, edits) of verified regions of one text, at most one for each item and band."""
+    """(item number, start, end, edits) of all verified regions of one text.
+
+    Every window of an item that reaches the bound in a band is verified;
+    windows that touch in item and text, in one band or in bands side by side,
+    make one region.
+    """
     k = index.k[item]
     step = k + 1
     band = np.floor_divide(where - place, step)
@@ -142,34 +239,38 @@ def find(index: Index, codes: np.ndarray, where: np.ndarray, item: np.ndarray, p
     fits = last < len(where)
     last = np.minimum(last, len(where) - 1)
     fits &= (item[last] == item) & (band[last] == band) & (where[last] - where <= index.n[item] - Q + index.k[item])
-    out, taken, tried = [], set(), set()  # a passage and its band fix the stretch of text, so one try is enough
-    for j in np.flatnonzero(fits).tolist():
-        i, b = int(item[j]), int(band[j])
-        if (i, b) in taken or (i, b - 1) in taken:
+    edges = np.flatnonzero(np.concatenate([[True], (np.diff(item) != 0) | (np.diff(band) != 0)]))
+    ends = np.append(edges[1:], len(where))
+    out, before, joined = [], (-1, 0, []), []
+    for g in np.unique(np.searchsorted(edges, np.flatnonzero(fits), "right") - 1).tolist():
+        a, e = edges[g], ends[g]
+        i, b = int(item[a]), int(band[a])
+        n, own = int(index.n[i]), int(index.k[i])
+        found = _pieces(index.items[i], n, own, int(index.bound[i]), where[a:e], place[a:e], b * (own + 1), codes)
+        beside = before[2] if before[:2] == (i, b - 1) else []
+        now = []
+        for first, end_, start, end in found:
+            region = {"item": i, "band": b, "own": [first, end_, start, end], "box": [first, end_, start, end], "bands": [b, b]}
+            for other in [r for r in beside if r[0] < end_ + 1 and first < r[1] + 1 and r[2] <= end and start <= r[3]]:
+                top = _top(other[4])
+                if top is not region:
+                    box, more = region["box"], top["box"]
+                    region["box"] = [min(box[0], more[0]), max(box[1], more[1]), min(box[2], more[2]), max(box[3], more[3])]
+                    region["bands"][0] = min(region["bands"][0], top["bands"][0])
+                    top["into"] = region
+            joined.append(region)
+            now.append((first, end_, start, end, region))
+        before = (i, b, now)
+    for region in joined:
+        if "into" in region:
             continue
-        n, k = int(index.n[i]), int(index.k[i])
-        passage = index.items[i]
-        first = max(0, min(int(place[j : last[j] + 1].min()), len(passage) - n))
-        tries = dict.fromkeys([first, max(0, min(int(place[last[j]]) + Q - n, len(passage) - n)), *range(max(0, first - n + Q), min(int(place[last[j]]), len(passage) - n) + 1)])
-        low, high = b * (k + 1), (b + 2) * (k + 1) - 1
-        for start in tries:
-            if (i, b, start) in tried:
-                continue
-            tried.add((i, b, start))
-            from_ = max(0, start + low - k)
-            near = codes[from_ : max(0, start + high + n + 2 * k)]
-            got = banded_distance(passage[start : start + n], near, start + low - k - from_, start + high + k - from_, k)
-            if got:
-                edits, end = got[0], got[1] + from_
-                begin, p, r = max(0, end - n), start, start + n
-                while edits == 0 and begin and p and codes[begin - 1] == passage[p - 1]:
-                    begin, p = begin - 1, p - 1
-                while end < len(codes) and r < len(passage) and codes[end] == passage[r]:
-                    end, r = end + 1, r + 1
-                out.append((i, begin, end, edits))
-                taken.add((i, b))
-                break
-    return out
+        own = int(index.k[region["item"]])
+        whole = _fit(index, codes, region["item"], region["box"], region["bands"])
+        if whole[1] > region["box"][2] + 4 * own or whole[2] < region["box"][3] - 4 * own:  # an item or text that repeats itself
+            out += [_fit(index, codes, r["item"], r["own"], [r["band"]] * 2) for r in joined if _top(r) is region]
+        else:
+            out.append(whole)
+    return list(dict.fromkeys(out))
 
 
 def regions(index: Index, texts: list[str]):
@@ -248,9 +349,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
 def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, item_id, start, end, edits): where texts hold a benchmark passage; one pass for each block of items.
 
-    start and end bound the region in code points of the text, to within the
-    edits at its begin. A band of diagonals of an item gives at most one
-    region; an occurrence elsewhere in the text is another. Null and empty
+    start and end bound the region in code points of the text; edits counts
+    those of the whole region. A region holds all passages of an item that
+    touch each other; one that stands apart, or elsewhere in the text, is
+    another. Null and empty
     texts and items of fewer than LEAST normalised characters match nothing;
     a null item id is -1; repeated rows are searched each; repeated items
     count once. An empty table on either side gives an empty result.
