@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import canonical, char_ngrams, masked_signature, word_ngrams
+from larkspan.functions.text import canonical, canonical_unicode, char_ngrams, masked_signature, word_ngrams
 
 # fixed values: closed vocabularies of a row
 LANGS = ("en", "de")
@@ -130,39 +130,89 @@ def masked_signatures(docs: DataFrame, spans_col: str, split_col: str = "split",
     return grouped.where((F.col("n") > MASKED_COPIES) | (F.col("splits") > 1))
 
 
-def nearest_jaccard(dev: DataFrame, train: DataFrame, least: float = NEAR_TAIL, n: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """(id, nearest, similarity): each dev text's most similar distinct train text by character shingles, from `least` up.
+def nearest_jaccard(dev: DataFrame, train: DataFrame, n: int = 5, id_col: str = "id", signature_col: str = "signature") -> DataFrame:
+    """(id, similarity): for each row of dev, the greatest Jaccard similarity of its signature's shingles with any train signature's, 0 if none shares one.
 
-    Exact: shingles are ordered rarest first over both sides, and sets that
-    reach `least` share one of the first |a| - ceil(least |a|) + 1 of either.
-    Equal train texts are compared once. Ties go to the least id.
+    Exact and whole: shared shingles of all distinct signatures are counted.
+    Two empty signatures are alike. Null signatures take no part.
     """
-    hashed = lambda df: df.select(F.col(id_col), canonical(F.col("text")).alias("c")).where("c <> ''")
-    grams = lambda c: F.transform(char_ngrams(c, n), lambda g: F.xxhash64(g))
-    left = hashed(dev).select(F.col(id_col).alias("a"), F.array_distinct(grams(F.col("c"))).alias("ga"))
-    right = hashed(train).groupBy("c").agg(F.min(id_col).alias("b")).select("b", F.array_distinct(grams(F.col("c"))).alias("gb"))
-    each = left.select(F.explode("ga").alias("g")).unionByName(right.select(F.explode("gb").alias("g")))
-    often = each.groupBy("g").agg(F.count("*").alias("f"))
-
-    def prefixes(side: DataFrame, key: str, sets: str) -> DataFrame:
-        one = side.select(key, F.size(sets).alias("n"), F.explode(sets).alias("g")).join(often, "g")
-        by = Window.partitionBy(key).orderBy("f", "g")
-        ranked = one.withColumn("r", F.row_number().over(by))
-        return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(key, F.col("n").alias(f"n_{key}"), "g")
-
-    pairs = prefixes(left, "a", "ga").join(prefixes(right, "b", "gb"), "g").where((F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))).select("a", "b").distinct()
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    scored = both.select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity")).where(F.col("similarity") >= least)
-    best = scored.groupBy("a").agg(F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("b"))).alias("best"))
-    return best.select(F.col("a").alias(id_col), F.col("best.b").alias("nearest"), F.col("best.similarity").alias("similarity"))
-
-
-def split_integrity(docs: DataFrame, split_col: str = "split", id_col: str = "doc_id", family_col: str | None = None) -> DataFrame:
-    """One row of statistics of a split corpus: rows, distinct texts, copies, texts in several splits."""
-    c = F.md5(canonical(F.col("text")).cast("binary"))
-    texts = docs.groupBy(c.alias("c")).agg(F.count("*").alias("n"), F.countDistinct(split_col).alias("s"))
-    return texts.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_texts"), F.max("n").alias("most_copies"), F.count_if(F.col("s") > 1).alias("texts_across_splits"))
+    key = F.md5(F.col(signature_col).cast("binary"))
+
+    def shingled(side: DataFrame, name: str) -> DataFrame:
+        texts = side.where(F.col(signature_col).isNotNull()).groupBy(key.alias(name)).agg(F.first(signature_col).alias("s"))
+        grams = F.when(F.col("s") == "", F.array(F.lit(""))).otherwise(char_ngrams(F.col("s"), n))
+        return texts.select(name, grams.alias("g")).select(name, F.size("g").alias(f"n_{name}"), F.explode("g").alias("g"))
+
+    shared = shingled(train, "b").join(shingled(dev, "a"), "g").groupBy("a", "n_a", "b", "n_b").agg(F.count("*").alias("n"))
+    best = shared.groupBy("a").agg(F.max(F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).alias("similarity"))
+    rows = dev.where(F.col(signature_col).isNotNull()).select(id_col, key.alias("a"))
+    return rows.join(best, "a", "left").select(id_col, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def signed_rows(rows: DataFrame, canon=canonical_unicode) -> DataFrame:
+    """The rows of train and dev with their canonical text and masked signature; no signature where a span does not lie in the text."""
+    off = lambda s: s["start"].isNull() | s["end"].isNull() | (s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length("text"))
+    right = F.col("text").isNotNull() & F.col("spans").isNotNull() & ~F.coalesce(F.exists("spans", off), F.lit(False))
+    out = rows.where(F.col("split").isin("train", "dev")).withColumn("right", right)
+    masked = F.when(F.col("right"), masked_signature(F.col("text"), F.when(F.col("right"), F.col("spans")), canon))
+    return out.withColumn("canonical", canon(F.col("text"))).withColumn("signature", masked)
+
+
+def _sides(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return signed.where("split = 'dev'"), signed.where("split = 'train'")
+
+
+def split_integrity_failures(signed: DataFrame) -> DataFrame:
+    """Failures of rows of signed_rows (id, text, spans, split, family_id, template_lineage).
+
+    An empty side; texts and masked signatures repeated or in both splits;
+    lineages in both splits or missing; fewer signatures than families; and
+    dev rows whose nearest masked train signature reaches NEAR_CEILING.
+    """
+    whole = F.lit("split-integrity")
+    name = F.coalesce(F.col("id").cast("string"), F.lit("<no-id>"))
+    lineage = F.coalesce("template_lineage", F.lit(""))
+    has = F.col("signature").isNotNull()
+    each = _explode_failures(
+        signed,
+        name,
+        [("no_text", F.col("text").isNull(), F.lit("")), ("masked_signature", F.col("text").isNotNull() & ~has, F.lit("")), ("missing_lineage", has & (lineage == ""), F.lit(""))],
+    )
+    totals = signed.agg(
+        F.count_if(F.col("split") == "train").alias("train"),
+        F.count_if(F.col("split") == "dev").alias("dev"),
+        F.countDistinct("signature").alias("signatures"),
+        F.countDistinct(F.when(has & (F.col("family_id") != ""), F.col("family_id"))).alias("families"),
+    )
+    refuse = F.lit("refusing to pass fail-open")
+    corpus = _explode_failures(
+        totals,
+        whole,
+        [("empty_train", F.col("train") == 0, refuse), ("empty_dev", F.col("dev") == 0, refuse), ("masked_diversity", F.col("signatures") < F.col("families"), F.concat_ws("<", "signatures", "families"))],
+    )
+
+    def groups(col: str) -> DataFrame:
+        """(first_id, n, splits) of each value of a column."""
+        by = signed.where(F.col(col).isNotNull()).groupBy(F.md5(F.col(col).cast("binary")).alias("key"))
+        return by.agg(F.count("*").alias("n"), F.countDistinct("split").alias("splits"), F.min(name).alias("first_id"))
+
+    many = F.concat_ws(":", "first_id", "n")
+    copies = _explode_failures(groups("canonical"), whole, [("canonical_overlap", F.col("splits") > 1, many), ("canonical_copies", (F.col("n") > 1) & (F.col("splits") == 1), many)])
+    masked = _explode_failures(groups("signature"), whole, [("masked_overlap", F.col("splits") > 1, many), ("masked_copies", F.col("n") > MASKED_COPIES, many)])
+    crossing = family_conflicts(signed.where(has), "template_lineage", "lineage_split")
+    near = nearest_jaccard(*_sides(signed)).where(F.col("similarity") >= NEAR_CEILING)
+    near = near.select(name.alias("scope"), F.lit("near_train").alias("rule"), F.format_number("similarity", 4).alias("message"))
+    return gate(each, corpus, copies, masked, crossing, near)
+
+
+def split_integrity_stats(signed: DataFrame) -> DataFrame:
+    """One row: rows of each side, distinct texts and signatures, most copies of one, and the nearest similarities of all dev rows."""
+    key = lambda c: F.md5(F.col(c).cast("binary"))
+    sums = signed.agg(F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "dev").alias("dev_rows"), F.countDistinct(key("canonical")).alias("canonical_distinct"))
+    masked = signed.where("signature is not null").groupBy(key("signature").alias("k")).count().agg(F.count("*").alias("masked_distinct"), F.coalesce(F.max("count"), F.lit(0)).alias("masked_multiplicity_max"))
+    at = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY similarity)"), F.lit(0.0))
+    near = nearest_jaccard(*_sides(signed)).agg(at(0.5).alias("near_p50"), at(0.95).alias("near_p95"), F.coalesce(F.max("similarity"), F.lit(0.0)).alias("near_max"), F.count_if(F.col("similarity") >= NEAR_TAIL).alias("dev_ge_080"))
+    return sums.crossJoin(masked).crossJoin(near)
 
 
 def power_floor_failures(floors: DataFrame, counts: DataFrame) -> DataFrame:
