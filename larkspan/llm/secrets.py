@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.guesses import alphabet, guess_cost
+from larkspan.llm.guesses import guess_cost
 
 #: log10 of the guesses from which a value in credential context is a secret.
 COST = 9.0
@@ -20,11 +20,14 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 
+# A quoted value goes up to the matching quote, past escaped ones; another up to white space or a sign that ends it.
 _CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|auth(?:orization)?|(?:api|access|private|signing|encryption)[_\x20-]?key)"""
-    r"""["']?(?:\x20{0,4}(?:[:=]|=>|->)\x20{0,4}|\x20(is|was)\x20)["'`]?(?:bearer\x20|basic\x20)?([^\s"'`<>,;]{6,})""",
-    re.I | re.A,
+    r"""(?P<gap>["']?(?:\s*(?:[:=]|=>|->)\s*|\s+(?P<verb>is|was)\s+)(?:bearer\s+|basic\s+)?)"""
+    r"""(?:(?P<quote>["'`])(?:bearer\s+|basic\s+)?(?P<quoted>(?:\\.|(?!(?P=quote))[^\\])++)(?P=quote)|["'`]?(?:bearer\s+|basic\s+)?(?P<bare>[^\s"'`<>,;]+))""",
+    re.I | re.A | re.S,
 )
+_PROSE = re.compile(r"[a-z]+")
 #: Texts that cannot match any pattern are set aside by one scan of the Arrow buffer.
 _MAYBE = r"(?i:pass|pwd|secret|token|credential|bearer|auth|key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
 _ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
@@ -42,17 +45,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def guess_spans(text: str, base: list[tuple[int, int, str]], cost: float = COST) -> list[tuple[int, int, str]]:
     """Spans of values in credential context that no base span overlaps and that cost at least 10 ** cost guesses.
 
-    After a plain "is" or "was" the value must mix kinds of signs, as prose goes on there.
+    A quoted value is whole, spaces and punctuation included. Without quotes
+    after a plain "is" or "was", a word of small letters is taken for prose.
+    A value that is no secret is searched for others inside.
     """
-    taken, out = sorted(base), []
-    for m in _CONTEXT.finditer(text):
-        start, end = m.span(2)
-        value = m[2].rstrip(".!?)]}:")
+    taken, out, at = sorted(base), [], 0
+    while m := _CONTEXT.search(text, at):
+        at = m.end("gap")
+        start = m.start("quoted") if m["quote"] else m.start("bare")
+        value = m["quoted"] if m["quote"] else m["bare"].rstrip(".!?)]}:")
         end = start + len(value)
-        if len(value) < 6 or m[1] and alphabet(value) <= 26 or any(a < end and start < b for a, b, _ in taken):
+        if not m["quote"] and m["verb"] and _PROSE.fullmatch(value) or any(a < end and start < b for a, b, _ in taken):
             continue
         if guess_cost(value) >= cost:
             out.append((start, end, "guess"))
+            at = m.end()
     return out
 
 

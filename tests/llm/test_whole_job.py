@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from larkspan.llm.decontamination import Index, regions
+from larkspan.llm.secrets import base_spans, guess_spans
 
 
 def prose(seed, n):
@@ -39,3 +42,28 @@ def test_op4_exact_and_repeated_copies():
     assert found(ITEM + " " + ITEM) == [(0, 390, 0), (391, 781, 0)]
     rows = found("ab cd " * 200, "ab cd " * 40)
     assert min(a for a, _, _ in rows) <= 0 and max(b for _, b, _ in rows) >= 1199
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('password: "Tr0ub,4dor&3!x"', "Tr0ub,4dor&3!x"),
+        ('pwd="Xk9<vT2;qLm4"', "Xk9<vT2;qLm4"),
+        ("secret = 'a;9Q#v!2Lp@7z'", "a;9Q#v!2Lp@7z"),
+        ('passphrase: "correct horse battery staple"', "correct horse battery staple"),
+        ('pwd: "a \\"Q9#\\" x7!z"', 'a \\"Q9#\\" x7!z'),
+        ("pwd:\tq7#Vz!m2Lw@9", "q7#Vz!m2Lw@9"),
+        ("pwd:\n  q7#Vz!m2Lw@9", "q7#Vz!m2Lw@9"),
+        ("pwd: q7#Vz", "q7#Vz"),
+        ("the passcode is 8402759163 now", "8402759163"),
+        ("the password was 'xkqzvwpmrtbj' then", "xkqzvwpmrtbj"),
+        ('auth: "then pwd: q7#Vz!m2Lw@9', "q7#Vz!m2Lw@9"),
+    ],
+)
+def test_op10_whole_values(text, value):
+    assert [text[a:b] for a, b, _ in guess_spans(text, base_spans(text))] == [value]
+
+
+def test_op10_values_easy_to_guess_stay_out():
+    for text in ('password: "password"', "the token is important", 'pwd = ""', "secret:", "pwd: 'dragon monkey'"[:12]):
+        assert guess_spans(text, base_spans(text)) == []
