@@ -1,7 +1,8 @@
 """Corpus gates: each takes rows and returns failures (scope, rule, message); no failure passes.
 
 A gate that has nothing to check against fails: every one with an evaluation
-side adds an explicit row for an empty side.
+side adds an explicit row for an empty side. Texts are compared in the NFKC,
+case-folded form; `canonical` may be given for texts known to be NFKC.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import canonical, canonical_unicode, char_ngrams, masked_signature, word_ngrams
+from larkspan.functions.text import canonical_unicode, char_ngrams, masked_signature, word_ngrams
 
 # fixed values: closed vocabularies of a row
 LANGS = ("en", "de")
@@ -98,35 +99,34 @@ def manifest_failures(entries: DataFrame, files: DataFrame) -> DataFrame:
     return found.withColumn("rule", rule).select("path_or_ref", verdict.alias("verdict"), "rule")
 
 
-def ngram_overlap(docs: DataFrame, items: DataFrame, n: int = 8, id_col: str = "doc_id", item_col: str = "item_id", canon=canonical) -> DataFrame:
+def ngram_overlap(docs: DataFrame, items: DataFrame, n: int = 8, id_col: str = "doc_id", item_col: str = "item_id", canon=canonical_unicode) -> DataFrame:
     """(id, item, shared): distinct canonical word n-grams that a text and an item share, where there are any.
 
     Grams are joined by their 64-bit hash and text; the small side is
     broadcast by the optimizer where its size allows. A text of fewer words
     is one gram.
     """
-    left = docs.select(F.col(id_col), F.explode(word_ngrams(canon(F.col("text")), n)).alias("gram"))
-    right = items.select(F.col(item_col), F.explode(word_ngrams(canon(F.col("text")), n)).alias("gram"))
-    return left.join(right, "gram").groupBy(id_col, item_col).agg(F.count("*").alias("shared"))
+    grams = lambda df, key: df.select(key, canon(F.col("text")).alias("c")).select(key, F.explode(word_ngrams(F.col("c"), n)).alias("gram"))
+    return grams(docs, id_col).join(grams(items, item_col), "gram").groupBy(id_col, item_col).agg(F.count("*").alias("shared"))
 
 
-def contamination_failures(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
+def contamination_failures(docs: DataFrame, items: DataFrame, n: int = 8, canon=canonical_unicode) -> DataFrame:
     """One failure for each pair that shares a gram; one for an evaluation side without text."""
-    hits = ngram_overlap(docs, items, n).select(F.col("doc_id").cast("string").alias("scope"), F.lit("contamination").alias("rule"), F.concat_ws(":", F.col("item_id").cast("string"), F.col("shared").cast("string")).alias("message"))
-    filled = items.agg(F.count_if(F.length(canonical(F.col("text"))) > 0).alias("n"))
+    hits = ngram_overlap(docs, items, n, canon=canon).select(F.col("doc_id").cast("string").alias("scope"), F.lit("contamination").alias("rule"), F.concat_ws(":", F.col("item_id").cast("string"), F.col("shared").cast("string")).alias("message"))
+    filled = items.select(canon(F.col("text")).alias("c")).agg(F.count_if(F.length("c") > 0).alias("n"))
     empty = filled.where("n = 0").select(F.lit("<evaluation>").alias("scope"), F.lit("empty_evaluation").alias("rule"), F.lit("no text to compare with").alias("message"))
     return hits.unionByName(empty)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", canon=canonical_unicode) -> DataFrame:
     """(signature, n, first_id): canonical texts that occur more than once."""
-    return docs.groupBy(F.md5(canonical(F.col("text")).cast("binary")).alias("signature")).agg(F.count("*").alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
+    return docs.withColumn("signature", F.md5(canon(F.col("text")).cast("binary"))).groupBy("signature").agg(F.count("*").alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
 
 
-def masked_signatures(docs: DataFrame, spans_col: str, split_col: str = "split", id_col: str = "doc_id") -> DataFrame:
+def masked_signatures(docs: DataFrame, spans_col: str, split_col: str = "split", id_col: str = "doc_id", canon=canonical_unicode) -> DataFrame:
     """(signature, n, splits): masked texts that occur too often or in several splits."""
-    signature = F.md5(masked_signature(F.col("text"), F.col(spans_col)).cast("binary"))
-    grouped = docs.groupBy(signature.alias("signature")).agg(F.count("*").alias("n"), F.countDistinct(split_col).alias("splits"), F.min(id_col).alias("first_id"))
+    signature = F.md5(masked_signature(F.col("text"), F.col(spans_col), canon).cast("binary"))
+    grouped = docs.withColumn("signature", signature).groupBy("signature").agg(F.count("*").alias("n"), F.countDistinct(split_col).alias("splits"), F.min(id_col).alias("first_id"))
     return grouped.where((F.col("n") > MASKED_COPIES) | (F.col("splits") > 1))
 
 

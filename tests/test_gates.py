@@ -78,3 +78,13 @@ def test_lineage_diversity_copies_and_broken_rows_fail(failures):
     assert failures(("t", "a stone", [], "train", "f1", "same"), ("d", "nothing alike", [], "dev", "f2", "same")) == [("same", "lineage_split")]
     assert failures(("t", "STRASSE", [], "train"), ("d", "Straße", [], "dev")) == [("d", "near_train"), *(("split-integrity", r) for r in ("canonical_overlap", "masked_diversity", "masked_overlap"))]
     assert failures(("t", "abc", [(2, 9)], "train"), ("u", None, [], "train"), ("v", "one two three", [], "train", "v", None), ("d", "nothing alike", [], "dev")) == [("t", "masked_signature"), ("u", "no_text"), ("v", "missing_lineage")]
+
+
+def test_texts_that_differ_in_form_only_are_the_same(spark):
+    text = "Die Straße nach Köln führt an der Brücke über den Fluß vorbei"
+    other = unicodedata.normalize("NFD", text.replace("ß", "ss").upper())
+    docs = spark.createDataFrame([(1, text, [], "train"), (2, other, [], "dev")], "doc_id long, text string, spans array<struct<start:int,end:int>>, split string")
+    items = spark.createDataFrame([(7, other)], "item_id long, text string")
+    assert {(f.scope, f.rule) for f in gates.contamination_failures(docs, items).collect()} == {("1", "contamination"), ("2", "contamination")}
+    assert [r.n for r in gates.exact_duplicates(docs).collect()] == [2] and [r.splits for r in gates.masked_signatures(docs, "spans").collect()] == [2]
+    assert [f.rule for f in gates.contamination_failures(docs, items.where("false")).collect()] == ["empty_evaluation"]
