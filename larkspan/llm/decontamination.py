@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Gram length, passage length, edits for each 100 characters, and the least item.
-Q, WINDOW, EDITS, LEAST = 12, 60, 5, 24
+#: Gram length, which is the least item searched by grams, passage length, and edits for each 100 characters.
+Q, WINDOW, EDITS = 12, 60, 5
 #: Characters of benchmark text broadcast at once; more are searched block by block.
 BLOCK_CHARS = 8_000_000
 #: Characters of text normalised and hashed together.
@@ -81,7 +81,11 @@ class Index:
         codes, _, cuts = normalize([t for _, t in items])
         self.items = [codes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.items = [c[:-1] if len(c) and c[-1] == 0 else c for c in self.items]
-        usable = [i for i, c in enumerate(self.items) if len(c) >= LEAST]
+        self.short: dict[int, list[tuple[int, int]]] = {}  # (hash, id) of items under Q characters, by length
+        for i, c in enumerate(self.items):
+            if 0 < len(c) < Q:
+                self.short.setdefault(len(c), []).append((int(gram_hashes(c, len(c))[0]), items[i][0]))
+        usable = [i for i, c in enumerate(self.items) if len(c) >= Q]
         self.items, self.ids = [self.items[i] for i in usable], np.array([items[i][0] for i in usable], np.int64)
         self.n = np.array([min(WINDOW, len(c)) for c in self.items], np.int64)
         self.k = np.minimum(self.n * EDITS // 100, self.n // Q - 1)
@@ -273,9 +277,26 @@ def find(index: Index, codes: np.ndarray, where: np.ndarray, item: np.ndarray, p
     return list(dict.fromkeys(out))
 
 
+def _short(index: Index, codes: np.ndarray, places: np.ndarray, cuts: np.ndarray):
+    """The regions of items of fewer than Q characters: whole items, between spaces or the ends of a text."""
+    edge = codes == 0
+    for n, items in index.short.items():
+        if len(codes) < n:
+            continue
+        hashes, known = gram_hashes(codes, n), {}
+        for h, own in items:
+            known.setdefault(h, []).append(own)
+        for at in np.flatnonzero(np.isin(hashes, np.array(list(known), np.uint64))).tolist():
+            t = int(np.searchsorted(cuts, at, "right")) - 1
+            if at + n <= cuts[t + 1] and (at == cuts[t] or edge[at - 1]) and (at + n == cuts[t + 1] or edge[at + n]):
+                for own in known[int(hashes[at])]:
+                    yield t, own, int(places[at]), int(places[at + n - 1]) + 1, 0
+
+
 def regions(index: Index, texts: list[str]):
     """(text number, item id, start, end, edits) in code points of the texts, for texts taken together."""
     codes, places, cuts = normalize(texts)
+    yield from _short(index, codes, places, cuts)
     if len(codes) < Q or not len(index.ids):
         return
     hashes = gram_hashes(codes)
@@ -353,7 +374,8 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     those of the whole region. A region holds all passages of an item that
     touch each other; one that stands apart, or elsewhere in the text, is
     another. Null and empty
-    texts and items of fewer than LEAST normalised characters match nothing;
+    texts and items without letters or digits match nothing; items of up to 23
+    normalised characters match without edits, under Q between spaces only;
     a null item id is -1; repeated rows are searched each; repeated items
     count once. An empty table on either side gives an empty result.
     """

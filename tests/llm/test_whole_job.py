@@ -44,6 +44,14 @@ def test_op4_exact_and_repeated_copies():
     assert min(a for a, _, _ in rows) <= 0 and max(b for _, b, _ in rows) >= 1199
 
 
+def test_op4_short_items():
+    assert found("Forty-two ledgers", "forty two ledgers") == [(0, 17, 0)]
+    assert found("forty two lodgers", "forty two ledgers") == [] and found("forty two ledgers", "two ledgers!") == [(6, 17, 0)]
+    assert found("Qx 7!", "qx 7") == [(0, 4, 0)] and found("qx 77", "qx 7") == [] and found("aqx 7", "qx 7") == []
+    texts = ["qx", "7 qx 7", "", "qx 7"]
+    assert [(t, a, b) for t, _, a, b, _ in regions(Index([(7, "QX-7"), (8, "..")]), texts)] == [(1, 2, 6), (3, 0, 4)]
+
+
 @pytest.mark.parametrize(
     ("text", "value"),
     [
