@@ -23,13 +23,26 @@ def _times(x: Column, y: Column) -> Column:
     return (high + x.bitwiseAND(0xFFFF) * y).bitwiseAND(_MASK)
 
 
+def _state(seed: Column, k: Column) -> Column:
+    return (seed.cast("long") + k.cast("long") * STEP).bitwiseAND(_MASK)
+
+
+def _first(a: Column) -> Column:
+    return _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
+
+
+def _second(t: Column) -> Column:
+    return t.bitwiseXOR((t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(_MASK))
+
+
+def _last(u: Column) -> Column:
+    return u.bitwiseXOR(F.shiftright(u, 14))
+
+
 def draw32(seed: Column, k: Column) -> Column:
     """Draw k (from 1) of a seed, an integer in [0, 2 ** 32)."""
-    first = lambda a: _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
-    second = lambda t: t.bitwiseXOR((t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(_MASK))
-    state = (seed.cast("long") + k.cast("long") * STEP).bitwiseAND(_MASK)
     # each step uses the one before it several times: unbound, the expression grows exponentially
-    return bound(state, lambda a: bound(first(a), lambda t: bound(second(t), lambda u: u.bitwiseXOR(F.shiftright(u, 14)))))
+    return bound(_state(seed, k), lambda a: bound(_first(a), lambda t: bound(_second(t), _last)))
 
 
 def draw(seed: Column, k: Column) -> Column:
@@ -37,22 +50,30 @@ def draw(seed: Column, k: Column) -> Column:
     return draw32(seed, k).cast("double") / float(1 << 32)
 
 
+def draw_each(seed: Column, ks: Column) -> Column:
+    """array<double> of the draws numbered in an array: one pass over the array for each step, nothing bound for an element."""
+    states = F.transform(ks, lambda k: _state(seed, k))
+    mixed = F.transform(F.transform(states, _first), _second)
+    return F.transform(mixed, lambda u: _last(u).cast("double") / float(1 << 32))
+
+
 def pick_int(r: Column, low: Column | int, high: Column | int) -> Column:
     """An integer in [low, high] from a draw in [0, 1)."""
     low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
     return (F.floor(r * (high - low + 1).cast("double")) + low).cast("long")
 
 
-def weighted(r: Column, cumulative: list[tuple[str, float]]) -> Column:
-    """The first category whose cumulative weight exceeds the draw; the last one beyond them all."""
+def category_at(x: Column, cumulative: list[tuple[str, float]]) -> Column:
+    """weighted() of a value that is cheap to repeat."""
+    out = F.when(x < F.lit(cumulative[0][1]), cumulative[0][0])
+    for name, weight in cumulative[1:-1]:
+        out = out.when(x < F.lit(weight), name)
+    return out.otherwise(cumulative[-1][0])
 
-    def first(x: Column) -> Column:
-        out = F.lit(cumulative[-1][0])
-        for name, weight in reversed(cumulative[:-1]):
-            out = F.when(x < F.lit(weight), name).otherwise(out)
-        return out
 
-    return bound(r, first)
+def weighted(r: Column, cumulative: list[tuple[str, float]]) -> Column:
+    """The first category whose cumulative weight exceeds the draw; the last one beyond them all."""
+    return bound(r, lambda x: category_at(x, cumulative))
 
 
 def row_seed(row_index: Column, seed: int = 42) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from larkspan.functions.bind import bound, running_sums
+
 WORD, WORD_ASCII = r"(?U)\w+|[^\w\s]", r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
 # fixed value: ticket numbers that change from row to row
 VOLATILE = r"(?i)\b(?:syn|demo|lab|qa)-\d{5}-[a-z0-9]+\b"
@@ -34,21 +36,18 @@ def strip_space(text: Column) -> Column:
 def spans(text: Column, pattern: str) -> Column:
     """Every match of a pattern as struct(start, end, value), half-open, in order; it must not match the empty string.
 
-    The stretches between matches come from split, so a running sum of their
-    lengths and the matches' gives each start.
+    The stretches between matches come from split, so running sums of their
+    lengths and the matches' give the ends. A text without a match is searched
+    once and costs nothing more.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        at = a["at"] + F.length(p["gap"])
-        end = at + F.length(p["found"])
-        one = F.struct(at.alias("start"), end.alias("end"), p["found"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(a["out"], one).alias("out"))
-
-    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), found.alias("found")), F.lit(1), F.size(found))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(start["out"])
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = running_sums(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)))
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(empty))
 
 
 def token_spans(text: Column, ascii_only: bool = False) -> Column:

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.functions.bind import bound
-from larkspan.functions.rng import draw, pick_int, row_seed, weighted
+from larkspan.functions.bind import bound, running_sums
+from larkspan.functions.rng import category_at, draw, draw_each, pick_int, row_seed
 from larkspan.functions.text import pad_left
 
-LEAST, MOST, TRIES = 20, 25, 10
+LEAST, MOST, TRIES, SPARE = 20, 25, 10, 4
 
 _FIRST = "Ada Boris Clara Daan Edith Farid Greta Hugo Ines Jonas Karla Liam Mira Nils Olga Paul".split()
 _LAST = "Arnd Brook Castel Dorn Ebert Falk Grove Hale Irwin Jansen Keller Lund Moreau Novak Ortiz Pohl".split()
@@ -27,15 +27,18 @@ def plan(text: Column, row_index: Column, weights: list[tuple[str, float]], seed
 
     def planned(r: Column) -> Column:
         own, target, length = r["own"], r["target"], r["length"]
-        raw = F.transform(F.sequence(F.lit(1), target * TRIES), lambda j: pick_int(draw(own, j + 1), 0, length))
+        places = lambda n: F.transform(draw_each(own, F.sequence(F.lit(2), n + 1)), lambda x: pick_int(x, 0, length))
 
         def categories(d: Column) -> Column:
             last = F.array_position(d["drawn"], F.element_at(d["kept"], -1))
-            used = F.when(F.size(d["kept"]) == target, last).otherwise(F.size(d["drawn"]))
-            one = lambda u: F.transform(F.array_sort(d["kept"]), lambda p, i: F.struct(p.cast("int").alias("position"), weighted(draw(own, u + i + 2), weights).alias("category")))
-            return bound(used, one)
+            used = F.when(F.size(d["kept"]) == target, last).otherwise(F.size(d["drawn"])).cast("int")
+            draws = bound(used, lambda u: draw_each(own, F.sequence(u + 2, u + 1 + F.size(d["kept"]))))
+            return F.zip_with(F.array_sort(d["kept"]), draws, lambda p, x: F.struct(p.cast("int").alias("position"), category_at(x, weights).alias("category")))
 
-        return bound(raw, lambda drawn: bound(F.struct(drawn.alias("drawn"), F.slice(F.array_distinct(drawn), F.lit(1), target).alias("kept")), categories))
+        # a few draws more than the target are nearly always enough; only short texts repeat places so often that all count
+        few = places(target + SPARE)
+        drawn = bound(few, lambda d: F.when(F.size(F.array_distinct(d)) >= target, d).otherwise(places(target * TRIES)))
+        return bound(drawn, lambda d: bound(F.struct(d.alias("drawn"), F.slice(F.array_distinct(d), F.lit(1), target).alias("kept")), categories))
 
     own = row_seed(row_index, seed)
     target = pick_int(draw(own, F.lit(1)), LEAST, MOST).cast("int")
@@ -69,7 +72,14 @@ def iban(bank: Column) -> Column:
 def value(category: Column, row_index: Column, ordinal: Column) -> Column:
     """A value of the category's shape, from a number hashed from row and ordinal."""
     hexed = F.md5(F.concat_ws(":", row_index.cast("string"), ordinal.cast("string")).cast("binary"))
-    x = F.conv(F.substring(hexed, 1, 15), 16, 10).cast("long")
+    return bound(hexed, lambda h: bound(_number(h), lambda x: _shaped(category, h, x)))
+
+
+def _number(hexed: Column) -> Column:
+    return F.conv(F.substring(hexed, 1, 15), 16, 10).cast("long")
+
+
+def _shaped(category: Column, hexed: Column, x: Column) -> Column:
     date = lambda first, years: F.concat_ws("-", (F.pmod(x, F.lit(years)) + first).cast("string"), pad_left(F.pmod(F.floor(x / 64), F.lit(12)) + 1, 2), pad_left(F.pmod(F.floor(x / 1024), F.lit(28)) + 1, 2))
     name = F.concat_ws(" ", _pick(_FIRST, x), _pick(_LAST, F.floor(x / 16)))
     phone = F.concat(F.lit("("), _digits(x, 3), F.lit(") "), _digits(x, 3, 3), F.lit("-"), _digits(x, 4, 6))
@@ -112,39 +122,44 @@ def value(category: Column, row_index: Column, ordinal: Column) -> Column:
         "CREDIT_SCORE": (F.pmod(x, F.lit(551)) + 300).cast("string"),
         "LOAN_ACCOUNT_ID": F.concat(F.lit("LN-"), _digits(x, 10)),
     }
-    out = F.lit(None).cast("string")
+    out = None
     for key, shape in shapes.items():
-        out = F.when(category == key, shape).otherwise(out)
+        out = (F if out is None else out).when(category == key, shape)
     return out
 
 
 def digit_value(category: Column, row_index: Column, ordinal: Column) -> Column:
     """Nine digits for any category: the shape used where another engine checks the splice."""
-    return _digits(F.conv(F.substring(F.md5(F.concat_ws(":", row_index.cast("string"), ordinal.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long"), 9)
+    return _digits(_number(F.md5(F.concat_ws(":", row_index.cast("string"), ordinal.cast("string")).cast("binary"))), 9)
 
 
 def inject(carriers: DataFrame, weights: list[tuple[str, float]], row_col: str = "row_index", text_col: str = "text", seed: int = 42, make=value) -> DataFrame:
     """Adds injected (the spliced text) and entities (category, value, start_char, end_char; half-open) to each row.
 
-    Each value has one space on either side. A null text is empty.
+    Each value has one space on either side. A null text is empty. The two are
+    separate expressions, so a plan that needs the entities alone never splices.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     planned = carriers.withColumn("__plan", plan(text, F.col(row_col), weights, seed))
     valued = F.transform("__plan", lambda p, i: F.struct(p["position"].alias("position"), p["category"].alias("category"), make(p["category"], F.col(row_col), i + 1).alias("value")))
-    planned = planned.withColumn("__plan", valued)
+    planned = planned.withColumn("__values", valued)
+
+    def entities(v: Column) -> Column:
+        shifts = running_sums(F.transform(v, lambda p: F.length(p["value"]) + 2))
+
+        def one(p: Column, end: Column) -> Column:
+            return F.struct(p["category"].alias("category"), p["value"].alias("value"), (end - F.length(p["value"])).alias("start_char"), end.alias("end_char"))
 
-    empty = F.array().cast("array<struct<category:string,value:string,start_char:int,end_char:int>>")
-    start = F.struct(F.lit(0).alias("from"), F.lit(0).alias("shift"), F.lit("").alias("text"), empty.alias("out"))
+        # a shift counts this value too; an empty text has a place 1, but no sign before it
+        ends = bound(F.length(text), lambda n: F.zip_with(v, shifts, lambda p, shift: F.least(p["position"], n) + shift - 1))
+        return F.zip_with(v, ends, one)
 
-    def step(a: Column, p: Column) -> Column:
-        # an empty text has a place 1 too, but no sign before it
-        at = F.least(p["position"], F.length(text)) + a["shift"] + 1
-        one = F.struct(p["category"].alias("category"), p["value"].alias("value"), at.alias("start_char"), (at + F.length(p["value"])).alias("end_char"))
-        grown = F.concat(a["text"], F.substring(text, a["from"] + 1, p["position"] - a["from"]), F.lit(" "), p["value"], F.lit(" "))
-        return F.struct(p["position"].alias("from"), (a["shift"] + F.length(p["value"]) + 2).alias("shift"), grown.alias("text"), F.array_append(a["out"], one).alias("out"))
+    def spliced(v: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(v, i - 1)["position"], F.lit(0))
+        parts = F.transform(v, lambda p, i: F.concat(F.substring(text, before(i) + 1, p["position"] - before(i)), F.lit(" "), p["value"], F.lit(" ")))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(v, -1)["position"] + 1, F.length(text)))
 
-    done = F.aggregate("__plan", start, step, lambda a: F.struct(F.concat(a["text"], F.substring(text, a["from"] + 1, F.length(text))).alias("injected"), a["out"].alias("entities")))
-    return planned.withColumn("__done", done).withColumn("injected", F.col("__done.injected")).withColumn("entities", F.col("__done.entities")).drop("__plan", "__done")
+    return planned.withColumn("injected", bound(F.col("__values"), spliced)).withColumn("entities", bound(F.col("__values"), entities)).drop("__plan", "__values")
 
 
 def bad_entities(rows: DataFrame, text_col: str = "injected", entities_col: str = "entities") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.functions.rng import draw, draw32
+from larkspan.functions.rng import draw32, draw_each
 from larkspan.operators.dimensions import HIPAA_TO_PLACEHOLDER, SPURIOUS_TYPES, lookup
 
 
@@ -27,7 +27,9 @@ def evaluate(rows: DataFrame, miss_rate: float = 0.2, spurious: int = 2, row_col
     """
     seed = F.col(row_col)
     rate = clamp_unit(F.lit(float(miss_rate)))
-    drawn = F.transform(entities_col, lambda e, i: F.struct(e["category"].alias("category"), e["value"].alias("value"), (draw(seed, i + 1) < rate).alias("miss"), F.coalesce(lookup(e["category"], HIPAA_TO_PLACEHOLDER), F.lit("ID")).alias("type")))
+    numbers = F.when(F.size(entities_col) > 0, F.sequence(F.lit(1), F.size(entities_col))).otherwise(F.array().cast("array<int>"))
+    kind = lambda e: F.coalesce(lookup(e["category"], HIPAA_TO_PLACEHOLDER), F.lit("ID"))
+    drawn = F.zip_with(entities_col, draw_each(seed, numbers), lambda e, r: F.struct(e["category"].alias("category"), e["value"].alias("value"), (r < rate).alias("miss"), kind(e).alias("type")))
     rows = rows.withColumn("__d", drawn)
     hits = F.filter("__d", lambda d: ~d["miss"])
     rows = rows.withColumn("__h", hits)

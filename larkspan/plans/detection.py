@@ -11,6 +11,7 @@ from larkspan.functions.text import canonical_unicode, placeholder_type, token_c
 from larkspan.operators.detect import detect, redact, resolve_overlaps
 from larkspan.operators.dimensions import COMMON_PATTERNS, FINANCE_PATTERNS, PLACEHOLDER_TO_GLBA, PLACEHOLDER_TO_HIPAA, TYPE_TO_TIER, lookup
 from larkspan.plans import sql
+from larkspan.session import dealt
 
 _BY_NAME = {c: (c, p, s) for c, p, s in COMMON_PATTERNS}
 _ALL_SPANS = ",\n".join(sql.spans("documents", "doc_id", p, f"s{i}", keep="lang") for i, (_, p, _) in enumerate(COMMON_PATTERNS))
@@ -18,7 +19,7 @@ _UNION = "\nUNION ALL ".join(f"SELECT doc_id, lang, '{c}' AS category, ordinal,
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _spans(category: str, spark: SparkSession, sf_dir: str) -> DataFrame:

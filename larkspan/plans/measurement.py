@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkspan.functions.rng import draw, draw32, pick_int, weighted
 from larkspan.operators import match as M
 from larkspan.operators import metrics as X
-from larkspan.operators.detect import detect
+from larkspan.operators.detect import detections
 from larkspan.operators.dimensions import GLBA, GLBA_WEIGHTS, HEALTH_PATTERNS, HIPAA, HIPAA_WEIGHTS, PLACEHOLDER_TO_GLBA, PLACEHOLDER_TO_HIPAA, dimension
 from larkspan.operators.inject import bad_entities, digit_value, inject, plan
 from larkspan.operators.mock import evaluate
@@ -175,12 +175,11 @@ def boundary_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planted_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers planted in documents, found by patterns, matched greedily: recall by category."""
+    """Identifiers planted in documents, found by patterns, matched greedily within the row: recall by category."""
     planted = inject(_carriers(spark, sf_dir), HIPAA_WEIGHTS)
-    truth = planted.select("row_index", F.transform("entities", lambda e: F.struct(e["start_char"].alias("start"), e["end_char"].alias("end"), e["category"].alias("category"))).alias("truth"), "injected")
-    found = detect(truth, HEALTH_PATTERNS, key="row_index", text_col="injected").groupBy("row_index").agg(F.array_sort(F.collect_list(F.struct("start", "end", "category"))).alias("found"))
-    nothing = F.array().cast("array<struct<start:int,end:int,category:string>>")
-    both = truth.select("row_index", "truth").join(found, "row_index", "left").withColumn("preds", F.coalesce("found", nothing))
+    bounds = lambda spans, a, b: F.transform(spans, lambda e: F.struct(e[a].alias("start"), e[b].alias("end"), e["category"].alias("category")))
+    found = F.array_sort(bounds(detections(F.col("injected"), HEALTH_PATTERNS), "start", "end"))
+    both = planted.select("row_index", bounds(F.col("entities"), "start_char", "end_char").alias("truth"), found.alias("preds"))
     facts = M.verdicts(both, "truth", "preds", M.match_threshold(F.col("truth"), F.col("preds")), ("row_index",))
     return X.recall_by_category(facts, dimension(spark, HIPAA))
 

@@ -11,7 +11,7 @@ def draws(source: str, seed: str, k: str, keep: str, name: str = "drawn") -> str
     return f"""{name}_a AS (SELECT {keep}, {a} AS a FROM {source}),
 {name}_t AS (SELECT *, ((xor(a, a >> 15)::HUGEINT * (a | 1)::HUGEINT) & 4294967295)::BIGINT AS t FROM {name}_a),
 {name}_u AS (SELECT *, xor(t, (t + ((xor(t, t >> 7)::HUGEINT * (t | 61)::HUGEINT) & 4294967295)::BIGINT) & 4294967295) AS u FROM {name}_t),
-{name} AS (SELECT {keep}, xor(u, u >> 14) / 4294967296.0::DOUBLE AS r FROM {name}_u)"""
+{name} AS MATERIALIZED (SELECT {keep}, xor(u, u >> 14) / 4294967296.0::DOUBLE AS r FROM {name}_u)"""
 
 
 def weighted(r: str, weights: list[tuple[str, float]]) -> str:
@@ -41,10 +41,10 @@ target AS (SELECT doc_id, 20 + floor(r * 6)::INT AS target FROM dr WHERE k = 1),
 tries AS (SELECT doc_id, k - 1 AS j, floor(r * (len + 1))::BIGINT AS pos, target FROM dr JOIN target USING (doc_id) WHERE k BETWEEN 2 AND 10 * target + 1),
 firsts AS (SELECT doc_id, pos, min(j) AS j, any_value(target) AS target FROM tries GROUP BY doc_id, pos),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS rk FROM firsts),
-kept AS (SELECT * FROM ranked WHERE rk <= target),
+kept AS MATERIALIZED (SELECT * FROM ranked WHERE rk <= target),
 used AS (SELECT doc_id, CASE WHEN count(*) = any_value(target) THEN max(j) ELSE 10 * any_value(target) END AS used FROM kept GROUP BY doc_id),
 placed AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ordinal FROM kept),
-planned AS (SELECT p.doc_id, p.ordinal, p.pos AS position, {weighted("d.r", weights)} AS category,
+planned AS MATERIALIZED (SELECT p.doc_id, p.ordinal, p.pos AS position, {weighted("d.r", weights)} AS category,
   lpad((('0x' || substr(md5(p.doc_id || ':' || p.ordinal), 1, 15))::BIGINT % 1000000000)::VARCHAR, 9, '0') AS value
   FROM placed p JOIN used u USING (doc_id) JOIN dr d ON d.doc_id = p.doc_id AND d.k = 1 + u.used + p.ordinal)"""
 
@@ -54,8 +54,8 @@ def mock_facts(weights: list[tuple[str, float]] = HIPAA_WEIGHTS, mapping: dict[s
     kind = mapped("category", HIPAA_TO_PLACEHOLDER, "'ID'")
     return f"""{plan(weights)},
 {draws("planned", "doc_id", "ordinal", "doc_id, ordinal, category, value", "mk")},
-hits AS (SELECT *, r < {miss}::DOUBLE AS miss, {kind} AS type FROM mk),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY ordinal) AS n FROM hits WHERE NOT miss),
+hits AS MATERIALIZED (SELECT *, r < {miss}::DOUBLE AS miss, {kind} AS type FROM mk),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY ordinal) AS n FROM hits WHERE NOT miss),
 counts AS (SELECT doc_id, type, count(*) AS n FROM numbered GROUP BY doc_id, type),
 extra AS (SELECT b.doc_id, t.i, t.type, 1 + coalesce(c.n, 0) AS n FROM base b CROSS JOIN (VALUES (0, 'PERSON'), (1, 'LOCATION')) t(i, type) LEFT JOIN counts c ON c.doc_id = b.doc_id AND c.type = t.type),
 facts AS (
