@@ -75,10 +75,15 @@ def verdicts(records: DataFrame, truth: str, preds: str, pairs: Column, keep: tu
     return with_pairs.select(*keep, F.explode(F.concat(of_truth, of_preds)).alias("v")).select(*keep, "v.category", "v.verdict")
 
 
-def set_scores(gold: Column, preds: Column) -> Column:
-    """struct(tp, fp, fn) over distinct (start, end, category); only gold of REDACT counts where it says `expected`."""
+def set_scores(gold: Column, preds: Column, has_expected: bool = True) -> Column:
+    """struct(tp, fp, fn) over distinct (start, end, category).
+
+    Gold whose `expected` is not REDACT does not count, so a prediction of it
+    is a false positive; without that field (has_expected false) all counts.
+    """
     keys = lambda a: F.array_distinct(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"))))
-    g, p = keys(gold), keys(preds)
+    wanted = F.filter(gold, lambda s: s["expected"].eqNullSafe(F.lit("REDACT"))) if has_expected else gold
+    g, p = keys(wanted), keys(preds)
     both = F.size(F.array_intersect(g, p))
     return F.struct(both.alias("tp"), (F.size(p) - both).alias("fp"), (F.size(g) - both).alias("fn"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.operators.dimensions import GLBA_WEIGHTS, HIPAA_TO_PLACEHOLDER, HIPAA_WEIGHTS, PLACEHOLDER_TO_GLBA, PLACEHOLDER_TO_HIPAA
+from larkspan.operators.dimensions import GLBA_WEIGHTS, HIPAA_TO_PLACEHOLDER, HIPAA_WEIGHTS, PLACEHOLDER_TO_GLBA, PLACEHOLDER_TO_HIPAA, SPURIOUS_TYPES
 
 
 def draws(source: str, seed: str, k: str, keep: str, name: str = "drawn") -> str:
@@ -49,15 +49,24 @@ planned AS MATERIALIZED (SELECT p.doc_id, p.ordinal, p.pos AS position, {weighte
   FROM placed p JOIN used u USING (doc_id) JOIN dr d ON d.doc_id = p.doc_id AND d.k = 1 + u.used + p.ordinal)"""
 
 
-def mock_facts(weights: list[tuple[str, float]] = HIPAA_WEIGHTS, mapping: dict[str, str] = PLACEHOLDER_TO_HIPAA, miss: float = 0.2) -> str:
-    """CTEs that end in `facts`: row_index, category, verdict, value, placeholder, with two spurious detections a row."""
+def injected() -> str:
+    """plan() and a CTE `injected`: doc_id, text with the values, n, start_sum."""
+    return f"""{plan()},
+gap AS (SELECT doc_id, position, value, ordinal, coalesce(lag(position) OVER (PARTITION BY doc_id ORDER BY ordinal), 0) AS prev FROM planned),
+body AS (SELECT gap.doc_id, string_agg(substr(b.text, prev + 1, position - prev) || ' ' || value || ' ', '' ORDER BY ordinal) AS body, max(position) AS last, count(*) AS n, sum(position + 1 + (ordinal - 1) * 11)::BIGINT AS start_sum FROM gap JOIN base b USING (doc_id) GROUP BY gap.doc_id),
+injected AS MATERIALIZED (SELECT doc_id, body || substr(b.text, last + 1) AS text, n, start_sum FROM body JOIN base b USING (doc_id))"""
+
+
+def mock_facts(weights: list[tuple[str, float]] = HIPAA_WEIGHTS, mapping: dict[str, str] = PLACEHOLDER_TO_HIPAA, miss: float = 0.2, spurious: int = 2) -> str:
+    """CTEs that end in `facts`: row_index, category, verdict, value, placeholder, with up to four spurious detections a row."""
+    wrong = ", ".join(f"({i}, '{t}')" for i, t in enumerate(SPURIOUS_TYPES[:spurious]))
     kind = mapped("category", HIPAA_TO_PLACEHOLDER, "'ID'")
     return f"""{plan(weights)},
 {draws("planned", "doc_id", "ordinal", "doc_id, ordinal, category, value", "mk")},
 hits AS MATERIALIZED (SELECT *, r < {miss}::DOUBLE AS miss, {kind} AS type FROM mk),
 numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY ordinal) AS n FROM hits WHERE NOT miss),
 counts AS (SELECT doc_id, type, count(*) AS n FROM numbered GROUP BY doc_id, type),
-extra AS (SELECT b.doc_id, t.i, t.type, 1 + coalesce(c.n, 0) AS n FROM base b CROSS JOIN (VALUES (0, 'PERSON'), (1, 'LOCATION')) t(i, type) LEFT JOIN counts c ON c.doc_id = b.doc_id AND c.type = t.type),
+extra AS (SELECT b.doc_id, t.i, t.type, 1 + coalesce(c.n, 0) AS n FROM base b CROSS JOIN (VALUES {wrong}) t(i, type) LEFT JOIN counts c ON c.doc_id = b.doc_id AND c.type = t.type),
 facts AS (
   SELECT doc_id AS row_index, category, 'tp' AS verdict, value, '[' || type || '_' || n || ']' AS placeholder FROM numbered
   UNION ALL SELECT doc_id, category, 'fn', value, NULL FROM hits WHERE miss
