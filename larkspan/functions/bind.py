@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,12 @@ def running_sums(values: Column) -> Column:
         return bound(blocks, joined)
 
     return bound(values.cast("array<int>"), lambda v: F.when(F.size(v) <= _BLOCK, short(v)).otherwise(long(v)))
+
+
+def settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that the optimizer does not fold into the expressions that use it: it comes out of a generator.
+
+    An Arrow function whose argument holds nested lambdas must read such a
+    column; Spark 4.1 fails to take the function out of the plan otherwise.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))

@@ -62,15 +62,23 @@ def token_count(text: Column) -> Column:
 
 def word_ngrams(canonical_text: Column, n: int = 8) -> Column:
     """Distinct n-grams of space-separated words; fewer words are one gram; no words, none."""
-    words = F.filter(F.split(canonical_text, " "), lambda w: w != "")
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    one = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(words) >= n, F.array_distinct(many)).otherwise(one)
+
+    def grams(words: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        one = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(words) >= n, F.array_distinct(many)).otherwise(one)
+
+    return bound(F.filter(F.split(canonical_text, " "), lambda w: w != ""), grams)
 
 
 def char_ngrams(text: Column, n: int = 5) -> Column:
-    """Distinct n-character shingles; a shorter text is its own; the empty text has none."""
-    many = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    """Distinct n-character shingles; a shorter text is its own; the empty text has none.
+
+    Shingles are put together from an array of the characters: a substring
+    would walk the text from its begin for each one.
+    """
+    join = lambda c, i: F.concat(*(F.get(c, i + j) for j in range(n)))
+    many = bound(F.split(text, ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: join(c, i)))
     one = F.when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
     return F.when(F.length(text) >= n, F.array_distinct(many)).otherwise(one)
 
@@ -87,9 +95,9 @@ def mask_spans(text: Column, found: Column, mask: str = "<SPAN>") -> Column:
     return F.aggregate(ordered, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mask), F.substring(t, s["end"] + 1, F.length(t))))
 
 
-def masked_signature(text: Column, found: Column, canon=canonical) -> Column:
-    """Spans and volatile ticket numbers masked, then canonical."""
-    return canon(F.regexp_replace(mask_spans(text, found), VOLATILE, "<VOLATILE>"))
+def masked_text(text: Column, found: Column) -> Column:
+    """Spans and volatile ticket numbers masked."""
+    return F.regexp_replace(mask_spans(text, found), VOLATILE, "<VOLATILE>")
 
 
 def placeholder_type(placeholder: Column) -> Column:

@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import canonical_unicode, char_ngrams, masked_signature, word_ngrams
+from larkspan.functions.bind import settled
+from larkspan.functions.text import canonical_unicode, char_ngrams, masked_text, word_ngrams
+from larkspan.session import materialize
 
 # fixed values: closed vocabularies of a row
 LANGS = ("en", "de")
@@ -24,6 +26,8 @@ EXPECTED = ("REDACT", "KEEP")
 SYNTHETIC = "synthetic-generated"
 FIELDS = ("id", "text", "lang", "zone", "spans", "org_id", "provenance", "consent_basis", "split", "family_id", "source", "created", "template_lineage")
 
+SPAN_FIELDS = ("start", "end", "category", "expected", "surface")
+
 NEAR_CEILING, NEAR_TAIL, MASKED_COPIES = 0.90, 0.80, 2
 
 
@@ -32,8 +36,20 @@ def _explode_failures(rows: DataFrame, scope: Column, checks: list[tuple[str, Co
     return rows.select(scope.alias("scope"), F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select("scope", "f.rule", "f.message")
 
 
+def unexpected_fields(rows: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """A failure for each column that a row, and each field that a span, must not have; `allowed` columns aside."""
+    names = [(c, "unexpected_field") for c in rows.columns if c not in (*FIELDS, *allowed)]
+    if "spans" in rows.columns:
+        names += [(f"spans.{c}", "unexpected_span_field") for c in rows.schema["spans"].dataType.elementType.names if c not in SPAN_FIELDS]
+    return rows.sparkSession.createDataFrame([("<table>", rule, name) for name, rule in names], "scope string, rule string, message string")
+
+
 def row_failures(rows: DataFrame) -> DataFrame:
-    """Every failure of every row: missing fields alone, where there are any; else enumerations, date and spans."""
+    """Every failure of every row: missing fields alone, where there are any; else enumerations, date and spans.
+
+    Fields that a table must not have are unexpected_fields()' part, and
+    read_jsonl's with closed=True for lines.
+    """
     missing = F.array_join(F.array_compact(F.array(*(F.when(F.col(f).isNull(), f) for f in FIELDS))), ",")
     whole = missing == ""
     text = F.col("text")
@@ -125,8 +141,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", canon=canonical_un
 
 def masked_signatures(docs: DataFrame, spans_col: str, split_col: str = "split", id_col: str = "doc_id", canon=canonical_unicode) -> DataFrame:
     """(signature, n, splits): masked texts that occur too often or in several splits."""
-    signature = F.md5(masked_signature(F.col("text"), F.col(spans_col), canon).cast("binary"))
-    grouped = docs.withColumn("signature", signature).groupBy("signature").agg(F.count("*").alias("n"), F.countDistinct(split_col).alias("splits"), F.min(id_col).alias("first_id"))
+    masked = settled(docs.select(id_col, split_col, "text", spans_col), "__masked", masked_text(F.col("text"), F.col(spans_col)))
+    signed = masked.select(id_col, split_col, F.md5(canon(F.col("__masked")).cast("binary")).alias("signature"))
+    grouped = signed.groupBy("signature").agg(F.count("*").alias("n"), F.countDistinct(split_col).alias("splits"), F.min(id_col).alias("first_id"))
     return grouped.where((F.col("n") > MASKED_COPIES) | (F.col("splits") > 1))
 
 
@@ -136,26 +153,32 @@ def nearest_jaccard(dev: DataFrame, train: DataFrame, n: int = 5, id_col: str =
     Exact and whole: shared shingles of all distinct signatures are counted.
     Two empty signatures are alike. Null signatures take no part.
     """
-    key = F.md5(F.col(signature_col).cast("binary"))
+    key = F.unhex(F.md5(F.col(signature_col).cast("binary")))
 
     def shingled(side: DataFrame, name: str) -> DataFrame:
         texts = side.where(F.col(signature_col).isNotNull()).groupBy(key.alias(name)).agg(F.first(signature_col).alias("s"))
         grams = F.when(F.col("s") == "", F.array(F.lit(""))).otherwise(char_ngrams(F.col("s"), n))
-        return texts.select(name, grams.alias("g")).select(name, F.size("g").alias(f"n_{name}"), F.explode("g").alias("g"))
+        texts = texts.select(name, grams.alias("g"))
+        # the size is read after the grams stand in a column: within one projection they would be made twice
+        return texts.select(name, F.size("g").alias(f"n_{name}"), F.explode("g").alias("g"))
 
-    shared = shingled(train, "b").join(shingled(dev, "a"), "g").groupBy("a", "n_a", "b", "n_b").agg(F.count("*").alias("n"))
+    shared = shingled(train, "b").join(shingled(dev, "a"), "g").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     best = shared.groupBy("a").agg(F.max(F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).alias("similarity"))
     rows = dev.where(F.col(signature_col).isNotNull()).select(id_col, key.alias("a"))
     return rows.join(best, "a", "left").select(id_col, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def signed_rows(rows: DataFrame, canon=canonical_unicode) -> DataFrame:
-    """The rows of train and dev with their canonical text and masked signature; no signature where a span does not lie in the text."""
+    """The rows of train and dev with their canonical text and masked signature; no signature where a span does not lie in the text.
+
+    Written to the shared folder, since the gate reads it many times and each
+    reading would mask and normalise all texts anew.
+    """
     off = lambda s: s["start"].isNull() | s["end"].isNull() | (s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length("text"))
     right = F.col("text").isNotNull() & F.col("spans").isNotNull() & ~F.coalesce(F.exists("spans", off), F.lit(False))
-    out = rows.where(F.col("split").isin("train", "dev")).withColumn("right", right)
-    masked = F.when(F.col("right"), masked_signature(F.col("text"), F.when(F.col("right"), F.col("spans")), canon))
-    return out.withColumn("canonical", canon(F.col("text"))).withColumn("signature", masked)
+    out = rows.where(F.col("split").isin("train", "dev"))
+    out = settled(out, "__masked", F.when(right, masked_text(F.col("text"), F.when(right, F.col("spans")))))
+    return materialize(out.withColumn("canonical", canon(F.col("text"))).withColumn("signature", canon(F.col("__masked"))).drop("__masked"), "signed")
 
 
 def _sides(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
