@@ -130,4 +130,5 @@ def identifier_forms(phrase: Column) -> Column:
 def snap_to_tokens(tokens: Column, start: Column, end: Column) -> Column:
     """struct(start, end) of the tokens that a span touches; null where it touches none."""
     hit = F.filter(tokens, lambda t: (t["start"] < end) & (t["end"] > start))
-    return F.when(F.size(hit) > 0, F.struct(F.get(hit, F.lit(0))["start"].alias("start"), F.element_at(hit, -1)["end"].alias("end")))
+    both = lambda h: F.when(F.size(h) > 0, F.struct(F.get(h, F.lit(0))["start"].alias("start"), F.element_at(h, -1)["end"].alias("end")))
+    return bound(hit, both)

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import identifier_forms
+from larkspan.session import materialize
 
 ROWS_A_FAMILY, FRAMES, DEV_FRAMES = 2, 20, 4
+#: Profile numbers go round the product of the slots' sizes in steps of this, prime to it, so few profiles reach every word.
+STRIDE, PROFILES = 12347, 11 * 13 * 17 * 19
 
 _SLOTS = {
     "en": (
@@ -94,13 +97,17 @@ def _families(spark: SparkSession, profiles: int) -> DataFrame:
     return grid.select(F.pmod("id", F.lit(2)).alias("half"), F.pmod(F.floor(F.col("id") / 2), F.lit(FRAMES)).cast("int").alias("frame"), F.floor(F.col("id") / (2 * FRAMES)).alias("profile"))
 
 
+def _number() -> Column:
+    return F.pmod((F.col("profile") * FRAMES + F.col("frame")) * STRIDE, F.lit(PROFILES))
+
+
 def hard_families(spark: SparkSession, profiles: int) -> DataFrame:
     """For each class of ambiguity a row whose word stays and one whose word goes."""
     out = None
     for name, (keep, word, drop) in _CLASSES.items():
         lang = "de" if name.startswith("de-") else "en"
         rows = _families(spark, profiles)
-        number = F.col("profile") * FRAMES + F.col("frame")
+        number = _number()
         lead = F.format_string("Frame %02d names %s." if lang == "en" else "Vorlage %02d nennt %s.", F.col("frame"), F.when(F.col("half") == 0, keep).otherwise(drop))
         text = F.concat_ws(" ", lead, profile_sentence(number, lang))
         expected = F.when(F.col("half") == 0, "KEEP").otherwise("REDACT")
@@ -113,7 +120,7 @@ def hard_families(spark: SparkSession, profiles: int) -> DataFrame:
 def structural_families(spark: SparkSession, profiles: int, lang: str) -> DataFrame:
     """A person's name as prose value and as an identifier in code, JSON and logs."""
     rows = _families(spark, profiles)
-    number = F.col("profile") * FRAMES + F.col("frame")
+    number = _number()
     person = F.get(F.array(*(F.lit(p) for p in _PEOPLE)), F.pmod(number, F.lit(len(_PEOPLE))).cast("int"))
     zone = F.get(F.array(*(F.lit(z) for z in _ZONES)), F.pmod("frame", F.lit(len(_ZONES))))
     forms = identifier_forms(person)
@@ -133,7 +140,7 @@ def structural_families(spark: SparkSession, profiles: int, lang: str) -> DataFr
 def general_families(spark: SparkSession, profiles: int, lang: str) -> DataFrame:
     """A row that names a person and a control row without spans."""
     rows = _families(spark, profiles)
-    number = F.col("profile") * FRAMES + F.col("frame")
+    number = _number()
     person = F.get(F.array(*(F.lit(p) for p in _PEOPLE)), F.pmod(number, F.lit(len(_PEOPLE))).cast("int"))
     named, plain = ("Vorgang %02d liegt bei %s.", "Vorgang %02d liegt bei niemandem.") if lang == "de" else ("Case %02d is with %s.", "Case %02d is with nobody.")
     lead = F.when(F.col("half") == 0, F.format_string(named, F.col("frame"), person)).otherwise(F.format_string(plain, F.col("frame")))
@@ -144,11 +151,21 @@ def general_families(spark: SparkSession, profiles: int, lang: str) -> DataFrame
     return _finish(rows)
 
 
-def generate(spark: SparkSession, profiles: int) -> DataFrame:
-    """The whole corpus: FRAMES x profiles families of two rows for every class and language."""
+def generate(spark: SparkSession, profiles: int, check: bool = False) -> DataFrame:
+    """The whole corpus: FRAMES x profiles families of two rows for every class and language.
+
+    With check, the corpus is written and an error is raised where a split of
+    a language lacks a slot word; a small number of profiles cannot have all.
+    """
     out = hard_families(spark, profiles)
     for lang in ("en", "de"):
         out = out.unionByName(structural_families(spark, profiles, lang)).unionByName(general_families(spark, profiles, lang))
+    if check:
+        out = materialize(out, "corpus")
+        for lang in ("en", "de"):
+            gaps = vocabulary_gaps(out, lang).limit(5).collect()
+            if gaps:
+                raise ValueError(f"{lang}: no text has {[(g.word, g.split) for g in gaps]}")
     return out
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions.rng import draw, pick_int
+from larkspan.operators.ranking import ranked_within
+from larkspan.session import materialize
 
 
 def seeded_subset(spark: SparkSession, n: int, k: int, seed: int = 42, cap: int = 100_000) -> DataFrame:
@@ -21,21 +23,10 @@ def seeded_subset(spark: SparkSession, n: int, k: int, seed: int = 42, cap: int
 
 
 def sample_rows(rows: DataFrame, k: int, seed: int = 42, order_col: str = "row_index") -> DataFrame:
-    """k rows by their dense rank in order_col, chosen by seeded_subset; a broadcast semi-join of k numbers.
-
-    Ranks come from counts by file partition, not from a window over all rows.
-    """
-    ordered = rows.orderBy(order_col)
-    ids = ordered.withColumn("__m", F.monotonically_increasing_id())
-    sizes = ids.groupBy(F.shiftright("__m", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
-    total, base = 0, []
-    for s in sizes:
-        base.append((s.p, total))
-        total += s.n
-    chosen = seeded_subset(rows.sparkSession, total, k, seed)
-    offsets = F.create_map(*(F.lit(x) for pair in base for x in pair)) if base else F.create_map(F.lit(0), F.lit(0))
-    rank = offsets[F.shiftright("__m", 33)] + F.col("__m").bitwiseAND((1 << 33) - 1)
-    return ids.withColumn("__rank", rank).join(F.broadcast(chosen), F.col("__rank") == F.col("index"), "left_semi").drop("__m", "__rank")
+    """k rows by their dense rank in order_col, chosen by seeded_subset."""
+    ranked = ranked_within(rows, [], [order_col], "__rank")
+    chosen = seeded_subset(rows.sparkSession, rows.count(), k, seed)
+    return ranked.join(chosen, F.col("__rank") == F.col("index"), "left_semi").drop("__rank")
 
 
 def deterministic_pick(rows: DataFrame, k: int, seed: int, key: str) -> DataFrame:
@@ -47,14 +38,13 @@ def deterministic_pick(rows: DataFrame, k: int, seed: int, key: str) -> DataFram
 def pick_per_class(rows: DataFrame, k: int, seed: int, key: str, *classes: str) -> DataFrame:
     """The first k rows of each class in the order of a seeded hash."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    by = Window.partitionBy(*classes).orderBy(order, key)
-    return rows.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= k).drop("__r")
+    ranked = ranked_within(rows.withColumn("__o", order), list(classes), ["__o", key], "__r")
+    return ranked.where(F.col("__r") < k).drop("__r", "__o")
 
 
 def checkpoint_prefix(rows: DataFrame, k: int, bucket_col: str, order_col: str) -> DataFrame:
-    """The first k rows of each bucket."""
-    by = Window.partitionBy(bucket_col).orderBy(order_col)
-    return rows.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= k).drop("__r")
+    """The first k rows of each bucket; order_col tells a bucket's rows apart."""
+    return ranked_within(rows, [bucket_col], [order_col], "__r").where(F.col("__r") < k).drop("__r")
 
 
 def shard_delta(checkpoint: DataFrame, previous: DataFrame, key: str) -> DataFrame:
@@ -63,38 +53,40 @@ def shard_delta(checkpoint: DataFrame, previous: DataFrame, key: str) -> DataFra
 
 
 def interleave(rows: DataFrame, group_col: str, order_col: str) -> DataFrame:
-    """Round-robin over groups: adds round and keeps only rounds that every group has."""
-    by = Window.partitionBy(group_col).orderBy(order_col)
-    ranked = rows.withColumn("round", F.row_number().over(by))
-    shortest = ranked.groupBy(group_col).agg(F.max("round").alias("n")).agg(F.min("n").alias("n"))
-    return ranked.join(F.broadcast(shortest), F.col("round") <= F.col("n")).drop("n")
+    """Round-robin over groups: adds round (from 1) and keeps only rounds that every group has."""
+    shortest = rows.groupBy(group_col).agg(F.count("*").alias("n")).agg(F.min("n").alias("__n"))
+    ranked = ranked_within(rows, [group_col], [order_col], "round").withColumn("round", F.col("round") + 1)
+    # the other side is the one row of an aggregate
+    return ranked.join(shortest, F.col("round") <= F.col("__n")).drop("__n")
 
 
-def schedule(averages: dict[str, float], targets: dict[str, float], updates: int, batch: int) -> list[str]:
-    """The bucket of each update: the least mean of update and token progress, in the targets' order on ties.
+def weighted_schedule(rows: DataFrame, targets: dict[str, float], updates: int, batch: int, seed: int, bucket_col: str = "bucket", key: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+    """(step, slot, bucket, key, tokens): batches of one bucket each, drawn with replacement, that balance updates and real tokens.
 
-    A batch counts its bucket's average tokens.
+    Each step takes the bucket with the least mean of update and token
+    progress, the targets' order deciding ties; a batch counts the tokens of
+    the rows drawn. Every bucket's batch of every step is drawn beforehand, by
+    counter draws and a join on rank, so the sequence of choices needs only
+    updates x buckets sums, which are parameters, on the driver.
     """
-    planned = sum(averages[b] * targets[b] for b in targets) * updates * batch
-    done, tokens, out = dict.fromkeys(targets, 0), dict.fromkeys(targets, 0.0), []
-    for _ in range(updates):
+    spark = rows.sparkSession
+    kept = rows.where(F.col(bucket_col).isin(*targets)).select(bucket_col, key, tokens_col)
+    sizes = {r[0]: (r.n, r.mean) for r in kept.groupBy(bucket_col).agg(F.count("*").alias("n"), F.avg(tokens_col).alias("mean")).collect()}
+    if missing := [b for b in targets if b not in sizes]:
+        raise ValueError(f"empty buckets: {missing}")
+    table = spark.createDataFrame([(b, sizes[b][0]) for b in targets], f"{bucket_col} string, __n long")
+    grid = spark.range(updates * batch).select(F.floor(F.col("id") / batch).alias("step"), F.pmod("id", F.lit(batch)).alias("slot"), draw(F.lit(seed), F.col("id") + 1).alias("__x"))
+    drawn = grid.join(table).select("step", "slot", bucket_col, pick_int(F.col("__x"), F.lit(0), F.col("__n") - 1).alias("__r"))
+    picks = materialize(drawn.join(ranked_within(kept, [bucket_col], [key], "__r"), [bucket_col, "__r"]).select("step", "slot", bucket_col, key, tokens_col), "picks")
+    sums = {(r[0], r[1]): r.t for r in picks.groupBy("step", bucket_col).agg(F.sum(tokens_col).alias("t")).collect()}
+    planned = sum(sizes[b][1] * targets[b] for b in targets) * updates * batch
+    done, tokens, chosen = dict.fromkeys(targets, 0), dict.fromkeys(targets, 0), []
+    for step in range(updates):
         bucket = min(targets, key=lambda b: (done[b] / max(targets[b] * updates, 1.0) + tokens[b] / max(targets[b] * planned, 1.0)) / 2)
-        out.append(bucket)
+        chosen.append((step, bucket))
         done[bucket] += 1
-        tokens[bucket] += averages[bucket] * batch
-    return out
-
-
-def scheduled_rows(rows: DataFrame, buckets: list[str], batch: int, seed: int, bucket_col: str = "bucket", key: str = "doc_id") -> DataFrame:
-    """(step, slot, bucket, key): each batch drawn with replacement from its bucket, by counter draws and a join on rank."""
-    spark = rows.sparkSession
-    by = Window.partitionBy(bucket_col).orderBy(key)
-    ranked = rows.select(bucket_col, key).withColumn("__r", F.row_number().over(by) - 1)
-    sizes = ranked.groupBy(bucket_col).agg(F.count("*").alias("__n"))
-    steps = spark.createDataFrame(list(enumerate(buckets)), f"step long, {bucket_col} string")
-    slots = steps.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(batch - 1)))).join(F.broadcast(sizes), bucket_col)
-    drawn = slots.withColumn("__r", pick_int(draw(F.lit(seed), F.col("step") * batch + F.col("slot") + 1), F.lit(0), F.col("__n") - 1))
-    return drawn.join(ranked, [bucket_col, "__r"]).select("step", "slot", bucket_col, key)
+        tokens[bucket] += sums[step, bucket]
+    return picks.join(spark.createDataFrame(chosen, f"step long, {bucket_col} string"), ["step", bucket_col]).select("step", "slot", bucket_col, key, tokens_col)
 
 
 def bootstrap_ci(scores: DataFrame, value_col: str, rank_col: str, rounds: int, seed: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.functions.bind import bound
 from larkspan.functions.text import snap_to_tokens, token_spans
 from larkspan.operators.dimensions import REPLAY_LABELS, lookup
 
@@ -28,22 +29,32 @@ def ner_example(text: Column, spans: Column, ascii_only: bool = False) -> Column
     aligned is false where a span's bounds are not those of tokens; such a
     span is in neither list.
     """
-    tokens = token_spans(text, ascii_only)
-    begin = lambda s: F.array_position(F.transform(tokens, lambda t: t["start"]), s["start"])
-    end = lambda s: F.array_position(F.transform(tokens, lambda t: t["end"]), s["end"])
-    fits = lambda s: (begin(s) > 0) & (end(s) > 0)
-    marked = F.filter(spans, lambda s: (s["expected"] == "REDACT") & fits(s))
-    ner = F.transform(marked, lambda s: F.struct((begin(s) - 1).cast("int").alias("start"), (end(s) - 1).cast("int").alias("end"), F.lower(s["category"]).alias("label")))
-    negatives = F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda s: s["expected"] == "KEEP"), lambda s: F.lower(s["category"]))))
-    return F.struct(F.transform(tokens, lambda t: t["value"]).alias("tokens"), ner.alias("ner"), negatives.alias("negatives"), F.forall(spans, fits).alias("aligned"))
+
+    def example(t: Column) -> Column:
+        tokens, starts, ends = t["tokens"], t["starts"], t["ends"]
+        begin = lambda s: F.array_position(starts, s["start"])
+        end = lambda s: F.array_position(ends, s["end"])
+        fits = lambda s: (begin(s) > 0) & (end(s) > 0)
+        marked = F.filter(spans, lambda s: (s["expected"] == "REDACT") & fits(s))
+        ner = F.transform(marked, lambda s: F.struct((begin(s) - 1).cast("int").alias("start"), (end(s) - 1).cast("int").alias("end"), F.lower(s["category"]).alias("label")))
+        negatives = F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda s: s["expected"] == "KEEP"), lambda s: F.lower(s["category"]))))
+        return F.struct(F.transform(tokens, lambda t: t["value"]).alias("tokens"), ner.alias("ner"), negatives.alias("negatives"), F.forall(spans, fits).alias("aligned"))
+
+    # starts and ends are arrays of their own, made once: a search in them is a plain loop over integers
+    parts = lambda t: F.struct(t.alias("tokens"), F.transform(t, lambda x: x["start"]).alias("starts"), F.transform(t, lambda x: x["end"]).alias("ends"))
+    return bound(bound(token_spans(text, ascii_only), parts), example)
 
 
 def snapped(text: Column, spans: Column, ascii_only: bool = False) -> Column:
     """Each span with snapped_start and snapped_end, its enclosing tokens' bounds; spans of no token are dropped."""
-    tokens = token_spans(text, ascii_only)
-    both = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"), snap_to_tokens(tokens, s["start"], s["end"]).alias("b")))
-    kept = F.filter(both, lambda s: s["b"].isNotNull())
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"), s["b"]["start"].alias("snapped_start"), s["b"]["end"].alias("snapped_end")))
+
+    def snap(tokens: Column) -> Column:
+        both = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"), snap_to_tokens(tokens, s["start"], s["end"]).alias("b")))
+        kept = F.filter(both, lambda s: s["b"].isNotNull())
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"), s["b"]["start"].alias("snapped_start"), s["b"]["end"].alias("snapped_end")))
+
+    # a text without spans is never cut into tokens
+    return F.when(F.size(spans) > 0, bound(token_spans(text, ascii_only), snap)).otherwise(F.array().cast("array<struct<start:int,end:int,category:string,snapped_start:int,snapped_end:int>>"))
 
 
 def cross_after_snapping(spans: Column) -> Column:

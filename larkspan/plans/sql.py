@@ -26,10 +26,10 @@ def spans(table: str, key: str, pattern: str, name: str = "s", text: str = "text
     """A CTE `name`: key, keep, ordinal (from 0), start, end, value of each match."""
     p = pattern.replace("'", "''")
     more = f", {keep}" if keep else ""
+    order = f"OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"""{name}_m AS (SELECT {key}{more}, regexp_extract_all({text}, '{p}') AS f, string_split_regex({text}, '{p}') AS g FROM {table}),
-{name}_e AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM {name}_m),
-{name}_p AS (SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0) AS b FROM {name}_e),
-{name} AS (SELECT {key}{more}, (i - 1)::BIGINT AS ordinal, b::BIGINT AS start, (b + length(f[i]))::BIGINT AS "end", f[i] AS value FROM {name}_p)"""
+{name}_e AS (SELECT {key}{more}, unnest(range(1, len(f) + 1)) AS i, unnest(f) AS value, unnest(g[1:len(f)]) AS gap FROM {name}_m WHERE len(f) > 0),
+{name} AS MATERIALIZED (SELECT {key}{more}, (i - 1)::BIGINT AS ordinal, (sum(length(gap) + length(value)) {order} - length(value))::BIGINT AS start, (sum(length(gap) + length(value)) {order})::BIGINT AS "end", value FROM {name}_e)"""
 
 
 def plan(weights: list[tuple[str, float]] = HIPAA_WEIGHTS) -> str:

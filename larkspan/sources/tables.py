@@ -6,9 +6,15 @@ import json
 import os
 import tempfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
+
+from larkspan.operators.ranking import numbered_in_files
+from larkspan.operators.training import KEEP_WORDS, REDACT_WORDS
 
 #: What a reader does with a line that is no JSON object: raise, drop, or keep it as a row with an error.
 POLICIES = ("fail", "skip", "row")
@@ -27,8 +33,8 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, m
 
 
 def with_row_index(rows: DataFrame, name: str = "row_index") -> DataFrame:
-    """Adds a dense ordinal from 0 in file order, from row counts of file partitions."""
-    return rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
+    """Adds a dense ordinal from 0 in file order, from row counts of file blocks; no row passes through Python."""
+    return numbered_in_files(rows, name)
 
 
 def write_csv(rows: DataFrame, path: str, headers: list[str], single: bool = False) -> None:
@@ -53,37 +59,62 @@ def int_prefix(text: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of non-blank lines; line_no is 1-based in its file."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return rows.select("file", (F.col("line_no") + 1).cast("long").alias("line_no"), F.rtrim(F.regexp_replace("line", "\r$", "")).alias("line")).where("trim(line) <> ''")
+    """(file, line_no, line) of non-blank lines; line_no is 1-based in its file.
+
+    A file is split among tasks; line numbers come from counts of its blocks.
+    """
+    scan = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    rows = numbered_in_files(scan, "line_no", by_file=True)
+    return rows.select("file", (F.col("line_no") + 1).alias("line_no"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line")).where("trim(line) <> ''")
+
+
+@pandas_udf(StringType())
+def json_fault(line: pd.Series) -> pd.Series:
+    """Why a line is no sound JSON object, at any depth: not JSON, not an object, or a key named twice; null if it is sound."""
+
+    def unique(pairs):
+        if len({k for k, _ in pairs}) != len(pairs):
+            raise KeyError
+        return dict(pairs)
 
+    def fault(text):
+        try:
+            return None if isinstance(json.loads(text, object_pairs_hook=unique), dict) else "invalid JSON object"
+        except KeyError:
+            return "duplicate JSON key"
+        except ValueError:
+            return "invalid JSON object"
 
-def duplicate_keys(line: Column) -> Column:
-    """Whether an object names a key twice at its top level."""
-    keys = F.json_object_keys(line)
-    return F.coalesce(F.size(keys) != F.size(F.array_distinct(keys)), F.lit(False))
+    return line.map(fault)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, policy: str = "fail", require_rows: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, policy: str = "fail", require_rows: bool = False, closed: bool = False) -> DataFrame:
     """Objects of JSON lines with file, line_no and, by the policy `row`, error.
 
-    A line fails if it is no object or names a key twice. `fail` raises with
-    the line number, `skip` drops it, `row` keeps it with its error and null
-    fields. With require_rows an empty input is an error.
+    A line fails if it is no object, names a key twice at any depth or, with
+    `closed`, has a field that the schema does not. `fail` raises with the line
+    number when the rows are read, whatever columns are; `skip` drops the line;
+    `row` keeps it with its error and null fields. With require_rows an empty
+    input is an error.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     lines = read_lines(spark, path)
     if require_rows and lines.isEmpty():
         raise ValueError(f"{path}: no rows")
-    is_object = F.startswith(F.ltrim("line"), F.lit("{")) & F.json_object_keys("line").isNotNull()
-    error = F.when(~F.coalesce(is_object, F.lit(False)), "invalid JSON object").when(duplicate_keys(F.col("line")), "duplicate JSON key")
-    parsed = lines.select("file", "line_no", F.from_json("line", schema).alias("r"), error.alias("error"))
+    names = T._parse_datatype_string(schema).names if isinstance(schema, str) else schema.names
+    fault = json_fault(F.col("line"))
+    checked = lines.withColumn("error", fault)
+    if closed:
+        extra = F.array_except(F.json_object_keys("line"), F.array(*(F.lit(n) for n in names)))
+        checked = checked.withColumn("error", F.coalesce("error", F.when(F.size(extra) > 0, F.concat(F.lit("unexpected field "), F.array_join(extra, ",")))))
     if policy == "fail":
-        stop = F.raise_error(F.concat(F.col("file"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), F.col("error")))
-        parsed = parsed.withColumn("r", F.when(F.col("error").isNull(), F.col("r")).otherwise(F.from_json(stop, schema)))
+        where = F.concat(F.col("file"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), F.col("error"))
+        # a filter, so that no projection of the result can leave the check out
+        checked = checked.where(F.when(F.col("error").isNotNull(), F.raise_error(where).cast("boolean")).otherwise(F.lit(True)))
     elif policy == "skip":
-        parsed = parsed.where("error is null")
+        checked = checked.where("error is null")
+    parsed = checked.select("file", "line_no", F.when(F.col("error").isNull(), F.from_json("line", schema)).alias("r"), "error")
     return parsed.select("file", "line_no", "r.*", *(["error"] if policy == "row" else []))
 
 
@@ -174,17 +205,68 @@ def records_of_payload(payload: Column, schema: str) -> Column:
 
 
 def floor_table(spark: SparkSession, path: str) -> DataFrame:
-    """(bucket, class, lang, min_cases, min_spans) of a Markdown table; none is an error."""
+    """(bucket, class, lang, min_cases, min_spans) of the first Markdown table of floors: rows up to the first line that is none; no row is an error."""
     row = r"^\|\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|\s*(\d+)\s*\|\s*(\d+)\s*\|\s*$"
     part = lambda i: F.regexp_extract("value", row, i)
-    rows = spark.read.text(path).where(F.col("value").rlike(row))
-    if rows.isEmpty():
+    lines = numbered_in_files(spark.read.text(path), "n").withColumn("hit", F.col("value").rlike(row))
+    first = lines.where("hit").agg(F.min("n")).first()[0]
+    if first is None:
         raise ValueError(f"{path}: no floors")
+    stop = lines.where(~F.col("hit") & (F.col("n") > first)).agg(F.min("n")).first()[0]
+    rows = lines.where("hit") if stop is None else lines.where(F.col("hit") & (F.col("n") < stop))
     return rows.select(part(1).alias("bucket"), part(2).alias("class"), part(3).alias("lang"), part(4).cast("long").alias("min_cases"), part(5).cast("long").alias("min_spans"))
 
 
 def markdown_table(rows: DataFrame, most: int = 1000) -> str:
-    """A Markdown table of a small report."""
+    """A Markdown table of a small report; more than `most` rows are an error, never cut."""
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    lines += ["| " + " | ".join("n/a" if v is None else str(v) for v in r) + " |" for r in rows.limit(most).collect()]
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    lines += ["| " + " | ".join("n/a" if v is None else str(v) for v in r) + " |" for r in found]
     return "\n".join(lines) + "\n"
+
+
+# fixed values: the names under which evaluation rows hold their text, spans, offsets, category and action
+TEXT_KEYS, SPAN_KEYS = ("text", "input", "content", "sentence"), ("spans", "entities", "expected_spans")
+START_KEYS, END_KEYS = ("start", "offset_start", "begin"), ("end", "offset_end", "stop")
+CATEGORY_KEYS, ACTION_KEYS = ("category", "label", "type", "entity_type"), ("expected", "action")
+
+
+def eval_rows(lines: DataFrame, categories: dict[str, str], line_col: str = "line") -> DataFrame:
+    """(text, lang, spans, error) of evaluation records under any of their accepted names.
+
+    categories maps labels, compared without case, to categories. The first
+    name that holds a value of the right kind counts. A record without text or
+    span list, and a span with bad offsets, an unknown category, an unknown
+    action or an ambiguous redact=false, is a row with an error and no spans:
+    nothing is guessed.
+    """
+    record = F.try_parse_json(line_col)
+    get = lambda v, key, kind: F.try_variant_get(v, f"$.{key}", kind)
+    is_text = lambda v, key: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")) == "STRING", get(v, key, "string"))
+    text = F.coalesce(*(is_text(F.col("__r"), k) for k in TEXT_KEYS))
+    listed = F.coalesce(*(get(F.col("__r"), k, "array<variant>") for k in SPAN_KEYS))
+    number = lambda v, keys: F.coalesce(*(F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "BIGINT", get(v, k, "int")) for k in keys))
+    known = F.create_map(*(F.lit(x) for k, v in categories.items() for x in (k.lower(), v)))
+
+    def span(v: Column) -> Column:
+        label = F.lower(F.trim(F.coalesce(*(get(v, k, "string") for k in CATEGORY_KEYS))))
+        redact = F.upper(F.trim(get(v, "redact", "string")))
+        word = F.upper(F.trim(F.coalesce(*(get(v, k, "string") for k in ACTION_KEYS))))
+        action = F.when(word.isNull() | word.isin(*REDACT_WORDS), "REDACT").when(word.isin(*KEEP_WORDS), "KEEP")
+        by_redact = F.when(redact.isin("TRUE", "REDACT"), "REDACT").when(redact == "KEEP", "KEEP")
+        return F.struct(number(v, START_KEYS).alias("start"), number(v, END_KEYS).alias("end"), known[label].alias("category"), F.when(redact.isNotNull(), by_redact).otherwise(action).alias("expected"))
+
+    read = lines.select("*", record.alias("__r")).select("*", text.alias("text"), F.coalesce(get(F.col("__r"), "lang", "string"), get(F.col("__r"), "language", "string"), F.lit("unknown")).alias("lang"), F.transform(listed, span).alias("__s"))
+    off = lambda s: F.coalesce((s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length("text")), F.lit(True))
+    error = (
+        F.when(F.col("__r").isNull(), "invalid JSON")
+        .when(F.col("text").isNull(), "no text")
+        .when(F.col("__s").isNull(), "no spans")
+        .when(F.exists("__s", off), "bad offsets")
+        .when(F.exists("__s", lambda s: s["category"].isNull()), "unknown category")
+        .when(F.exists("__s", lambda s: s["expected"].isNull()), "unknown action")
+    )
+    read = read.withColumn("error", error)
+    return read.select(*(c for c in lines.columns if c not in ("text", "lang", "spans", "error")), "text", "lang", F.when(F.col("error").isNull(), F.col("__s")).alias("spans"), "error")

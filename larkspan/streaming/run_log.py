@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.session import scratch_path
+
 
 def read_log(spark: SparkSession, folder: str, schema: str, name: str = "*.parquet", ts_col: str = "ts", files: int | None = None) -> DataFrame:
     """A stream of the folder's Parquet files; ts_col becomes a timestamp in the session's zone, as a watermark needs."""
@@ -25,12 +27,23 @@ def windowed(stream: DataFrame, keys: list[str], value_col: str, ts_col: str = "
     return grouped.select(F.col("w.start").alias("window_start"), *keys, "n", "total")
 
 
-def replay(result: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns the table of its result."""
-    writer = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return result.sparkSession.table(name)
+def replay(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there and returns its result: each batch's output is written to the shared folder, the last one is read.
+
+    Nothing goes through the driver; a batch that runs again overwrites its own folder.
+    """
+    spark = result.sparkSession
+    path = scratch_path(spark, name)
+    last = [-1]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/v{number}")
+        last[0] = number
+
+    result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    if last[0] < 0:
+        return spark.createDataFrame([], result.schema)
+    return spark.read.schema(result.schema).parquet(f"{path}/out/v{last[0]}")
 
 
 def upsert_last(stream: DataFrame, path: str, key: str, order_col: str, checkpoint: str) -> None:
