@@ -72,10 +72,10 @@ def placeholder_parse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select("placeholder", kind.alias("type"), lookup(kind, PLACEHOLDER_TO_HIPAA).alias("hipaa"), lookup(kind, PLACEHOLDER_TO_GLBA).alias("glba"))
 
 
-def token_spans_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of benchmark items with offsets, ASCII words."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(token_spans(F.col("text"), ascii_only=True)).alias("ordinal", "s"))
-    return rows.select("item_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.value")
+def token_spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents with offsets, ASCII words."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(token_spans(F.col("text"), ascii_only=True)).alias("ordinal", "s"))
+    return rows.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.value")
 
 
 def canonical_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ QUERIES = {
     "redact_placeholders": redact_placeholders,
     "detections_resolved": detections_resolved,
     "placeholder_parse_map": placeholder_parse_map,
-    "token_spans": token_spans_first,
+    "token_spans": token_spans_of,
     "canonical_nfkc": canonical_nfkc,
     "inventory": inventory,
     "language_profile": language_profile,
@@ -165,7 +165,8 @@ SELECT doc_id, value, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN
     "placeholder_parse_map": f"""WITH v AS (SELECT '[' || (['PERSON', 'EMAIL', 'CC', 'DOB', 'URL', 'ID', 'SECRET', 'A_B'])[i % 8 + 1] || '_' || i || CASE WHEN i % 3 = 2 THEN '' ELSE ']' END AS placeholder FROM range(24) t(i)),
 k AS (SELECT placeholder, nullif(regexp_extract(placeholder, '^\\[(.+)_([0-9]+)\\]$', 1), '') AS type FROM v)
 SELECT placeholder, type, {sql.mapped('type', PLACEHOLDER_TO_HIPAA)} AS hipaa, {sql.mapped('type', PLACEHOLDER_TO_GLBA)} AS glba FROM k""",
-    "token_spans": f"WITH {sql.spans('benchmark', 'item_id', '[A-Za-z0-9_]+|[^A-Za-z0-9_' + chr(92) + 's]')} SELECT item_id, ordinal, start, \"end\", value FROM s",
+    "token_spans": f"WITH {sql.spans('documents', 'doc_id', '[A-Za-z0-9_]+|[^A-Za-z0-9_' + chr(92) + 's]')} SELECT doc_id, ordinal, start, \"end\", value FROM s",
+    "canonical_nfkc": f"SELECT doc_id, md5({sql.NFKC.format('text')}) AS canonical_md5 FROM documents",
     "inventory": r"""SELECT records, distinct_texts, email_like, phone_like, records - distinct_texts AS duplicates FROM (
 SELECT count(*) AS records, count(DISTINCT trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS distinct_texts,
 count(*) FILTER (WHERE regexp_matches(text, '[^\s@]+@[^\s@]+\.[^\s@]+')) AS email_like, count(*) FILTER (WHERE regexp_matches(text, '\+?[0-9][0-9 .()-]{6,}[0-9]')) AS phone_like FROM documents)""",

@@ -162,7 +162,7 @@ _CONFLICTS = "SELECT {0} AS scope, '{1}' AS rule, array_to_string(list_sort(list
 _COUNTS = """counts AS (SELECT CASE WHEN family_id LIKE 'hard-%' THEN 'contextual_hard_negative' WHEN family_id LIKE 'struct%' THEN 'structural_domain_positive' ELSE 'general_synthetic' END AS bucket,
 CASE WHEN family_id LIKE 'hard-%' THEN regexp_extract(family_id, '^hard-(.*?)-f', 1) WHEN family_id LIKE 'struct%' THEN 'name-in-technical-zone' ELSE 'general-person-clean-control' END AS class,
 lang, count(*) AS cases, sum(len(found))::BIGINT AS spans FROM bank WHERE split = 'dev' GROUP BY 1, 2, 3)"""
-_NFKC = r"trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '\s+', ' ', 'g'))"
+_NFKC = sql.NFKC
 #: Distinct grams of n words of a canonical text; fewer words are one gram.
 _WORDS = """list_filter(string_split(c, ' '), lambda w: w <> '')"""
 

@@ -89,3 +89,5 @@ def dimension(names: list[str]) -> str:
 
 #: Spark's canonical() in SQL, for texts without unusual white space.
 CANONICAL = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+#: The NFKC, case-folded form in SQL, for texts whose one sign that folding or NFKC changes is the sharp s.
+NFKC = r"trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '\s+', ' ', 'g'))"

@@ -40,7 +40,7 @@ def with_row_index(rows: DataFrame, name: str = "row_index") -> DataFrame:
 def write_csv(rows: DataFrame, path: str, headers: list[str], single: bool = False) -> None:
     """Columns in the given order; a field is quoted only where it must be. A missing column is empty."""
     chosen = rows.select(*(F.coalesce(F.col(h).cast("string"), F.lit("")).alias(h) if h in rows.columns else F.lit("").alias(h) for h in headers))
-    (chosen.coalesce(1) if single else chosen).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    (chosen.coalesce(1) if single else chosen).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def logical_records(spark: SparkSession, path: str) -> int:
