@@ -31,31 +31,31 @@ TOGETHER = 256
 
 
 def _sketches(k: int, id_type: pa.DataType):
-    schema = pa.schema([("id", id_type), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", id_type), ("digest", pa.binary()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         import numpy as np
 
         from larkspan.llm.shingles import band_keys, fast_similarity_sketch, mix, shingle_sets
 
-        def emit(ids, sets):
+        def emit(part, sets):
             n = np.array([len(s) for s in sets], np.int64)
             fp1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
             fp2 = np.array([mix(~s).sum(dtype=np.uint64) for s in sets], np.uint64)
             keys = band_keys(fast_similarity_sketch(sets, BANDS * ROWS), BANDS, ROWS)[n > 0].view(np.int64)
             offs = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(keys.ravel()))
-            return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), lists], schema=schema)
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), lists], schema=schema)
 
         for batch in batches:
             sets, first = [], 0
             for s in shingle_sets(batch.column(1), k):
                 sets.append(s)
                 if len(sets) == TOGETHER:
-                    yield emit(batch.column(0).slice(first, len(sets)), sets)
+                    yield emit(batch.slice(first, len(sets)), sets)
                     first, sets = first + len(sets), []
             if sets:
-                yield emit(batch.column(0).slice(first, len(sets)), sets)
+                yield emit(batch.slice(first, len(sets)), sets)
 
     return run
 
@@ -140,21 +140,43 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.greatest("id", "x_id").alias("a"), F.least("id", "x_id").alias("b")).distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for every row of docs.
+def _told_apart(rows: DataFrame) -> DataFrame | None:
+    """(id, digest, node): a node for each text of the ids that have several, below all ids; None where ids tell texts apart.
 
-    Texts link when 100 * |A & B| >= percent * |A | B| over their sets of
-    distinct k-word shingles; component_id is the least id reachable by links,
-    and kept marks the row whose id that is. A text without words, empty or
-    null, is linked with nothing and kept. A null id is a component of its own
-    (component_id null, kept true). Rows with one id are one node: repeated
-    rows get the same component. An empty table gives an empty result. Other
-    columns of docs, whatever their names, are not read.
+    Such texts are documents of their own: joined under their id, one that has
+    a duplicate elsewhere would take the others with it.
+    """
+    several = rows.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
+    texts = materialize(rows.join(several, "id", "left_semi").select("id", "digest").distinct().withColumn("m", F.monotonically_increasing_id()), "texts")
+    if texts.isEmpty():
+        return None
+    below = rows.agg(F.least(F.min("id"), F.lit(0)).alias("m")).first().m
+    return texts.select(F.col("id").alias("t_id"), F.col("digest").alias("t_digest"), (F.lit(below) - 1 - F.col("m")).alias("node"))
+
+
+def _named(rows: DataFrame, told: DataFrame | None) -> DataFrame:
+    """rows (id, digest, ...) with their node."""
+    if told is None:
+        return rows.withColumn("node", F.col("id"))
+    return rows.join(told, (F.col("id") == F.col("t_id")) & (F.col("digest") == F.col("t_digest")), "left").withColumn("node", F.coalesce("node", "id")).drop("t_id", "t_digest")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, join_ids: bool) -> tuple[DataFrame, bool]:
+    """((id, digest, n, component) of every row, whether some id has several texts).
+
+    component is the least id of the row's component. With join_ids, texts of
+    one id are linked; without, they are documents of their own.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = source.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     long = pa.int64()
-    rows = materialize(source.mapInArrow(_sketches(k, long), "id long, n long, fp1 long, fp2 long, bands array<long>"), "sketches")
-    known = rows.where("id is not null and n > 0")
+    rows = materialize(source.mapInArrow(_sketches(k, long), "id long, digest binary, n long, fp1 long, fp2 long, bands array<long>"), "sketches")
+    told = _told_apart(rows.where("id is not null and n > 0"))
+    if told is not None:
+        rows = materialize(_named(rows, told), "nodes")
+    else:
+        rows = rows.withColumn("node", F.col("id"))
+    known = rows.where("id is not null and n > 0").drop("id").withColumnRenamed("node", "id")
     classes = materialize(known.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep")), "classes")
 
     reps = known.join(classes.select("fp1", "fp2", "n", F.col("rep").alias("id")), ["fp1", "fp2", "n", "id"], "left_semi").dropDuplicates(["id", "fp1", "fp2"])
@@ -163,28 +185,67 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = materialize(banded.join(buckets, "key"), "members")
 
     wanted = members.select("id").distinct()
-    sets = materialize(source.join(wanted, "id", "left_semi").mapInArrow(_sets(k, long), "id long, n long, grams array<long>"), "sets")
+    texts = _named(source, told).select(F.col("node").alias("id"), "text").join(wanted, "id", "left_semi")
+    sets = materialize(texts.mapInArrow(_sets(k, long), "id long, n long, grams array<long>"), "sets")
     links = materialize(_verified(_leader_pairs(members, percent), sets, percent), "links")
     first = materialize(connected_components(links), "components")
 
     placed = members.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_ = materialize(placed.join(split, "key", "left_semi").select("id", "component").distinct(), "open")
-    more = _verified(_prefix_pairs(open_, sets, percent), sets, percent)
-    final = materialize(connected_components(links.union(more)), "components")
-    discard(members, sets, links, first, open_)
+    links = links.union(_verified(_prefix_pairs(open_, sets, percent), sets, percent))
+    if told is not None and join_ids:
+        # the texts of an id through its least node; a text that is not its class' head is linked to that too
+        heads = told.groupBy("t_id").agg(F.min("node").alias("head")).withColumnRenamed("t_id", "h_id")
+        same = told.join(heads, F.col("t_id") == F.col("h_id")).select(F.col("node").alias("a"), F.col("head").alias("b"))
+        held = known.join(told.select(F.col("node").alias("id")), "id", "left_semi").join(classes, ["fp1", "fp2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        links = links.union(same).union(held)
+    final = materialize(connected_components(links), "components")
+    discard(members, sets, first, open_)
 
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"))
-    # rows that share an id but not a text may sit in several classes; all follow the least
-    out = rows.select("id", "n", "fp1", "fp2").join(of_class, ["fp1", "fp2", "n"], "left")
+    out = rows.select("id", "digest", "n", "fp1", "fp2").join(of_class, ["fp1", "fp2", "n"], "left")
+    if told is not None:  # a component's name is its least id, which its least node is not
+        least = out.where("component is not null and id is not null").groupBy(F.col("component").alias("c")).agg(F.min("id").alias("least"))
+        out = out.join(least, F.col("component") == F.col("c"), "left").drop("component", "c").withColumnRenamed("least", "component")
     label = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), label).alias("component_id"))
+    if told is not None and join_ids:  # the empty text of an id that has others goes with them
+        named = out.where("n > 0 and id is not null").join(told.select(F.col("t_id").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("o_id")).agg(F.min("component").alias("other"))
+        out = out.join(named, F.col("id") == F.col("o_id"), "left")
+        label = F.coalesce("other", label)
+    return out.select("id", "digest", "n", F.when(F.col("id").isNotNull(), label).alias("component")), told is not None
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) for every row of docs.
+
+    Texts link when 100 * |A & B| >= percent * |A | B| over their sets of
+    distinct k-word shingles; component_id is the least id reachable by links,
+    and kept marks the row whose id that is. A text without words, empty or
+    null, is linked with nothing and kept. A null id is a component of its own
+    (component_id null, kept true). Rows with one id are one node, whatever
+    their texts: they get the same component. An empty table gives an empty
+    result. Other columns of docs, whatever their names, are not read.
+    """
+    rows, _ = _labelled(docs, id_col, text_col, k, percent, join_ids=True)
+    out = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component is held by a smaller id; columns as given."""
-    gone = near_dedup(docs, id_col, text_col, k, percent).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-
+    """docs without the rows whose text's component has a smaller id; columns as given.
 
+    Every text that has no kept duplicate stays: where rows share an id but
+    not a text, each text is a document of its own, and a row goes by its own
+    text's component alone. Rows equal in id and text stay together. Null ids
+    and texts without words stay.
+    """
+    rows, several = _labelled(docs, id_col, text_col, k, percent, join_ids=False)
+    gone = rows.where("component <> id")
+    same = docs[id_col].cast("long") == F.col("__gone")
+    if several:
+        gone = gone.select(F.col("id").alias("__gone"), F.col("digest").alias("__digest"))
+        same = same & (F.unhex(F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"))) == F.col("__digest"))
+    else:
+        gone = gone.select(F.col("id").alias("__gone"))
+    return docs.join(gone.distinct(), same, "left_anti")
