@@ -14,11 +14,11 @@ from larkspan.llm.sharding import shard_documents
 from larkspan.llm.url_filter import judge_urls, labelled_table
 from larkspan.llm.warc import read_warc, write_warc
 from larkspan.llm.winnowing import fingerprint_edits
-from larkspan.session import materialize, scratch_path
+from larkspan.session import dealt, materialize, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from larkspan.llm.ranges import MAX_BLOCKS, block_of, range_bounds
 from larkspan.session import _delete, discard, materialize
 
-#: Payload bytes for each shard, least payload that a revisit record stands for, compressed size of a file.
-SHARD_BYTES, REVISIT_BYTES, FILE_BYTES = 8 << 20, 1000, 256 << 20
+#: Payload bytes for each shard, least payload that a revisit record stands for, compressed size at which a file rolls.
+SHARD_BYTES, REVISIT_BYTES, FILE_BYTES = 128 << 20, 1000, 16 << 20
+#: Compressed bytes that one reading task takes, about.
+READ_BYTES = 32 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 _FILES = pa.schema([("name", pa.string()), ("temporary", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
@@ -74,7 +76,7 @@ class _File:
 
         self.name, self.temporary = name, f"_temporary/{attempt}/{name}"
         fs.create_dir(f"{folder}/_temporary/{attempt}", recursive=True)
-        self.out, self.sha, self.bytes, self.records = fs.open_output_stream(f"{folder}/{self.temporary}"), hashlib.sha256(), 0, 0
+        self.out, self.sha, self.bytes, self.records = fs.open_output_stream(f"{folder}/{self.temporary}", compression=None), hashlib.sha256(), 0, 0
         body = f"software: larkspan\r\nformat: WARC File Format 1.1\r\nname: {name}\r\n".encode()
         head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", _urn("info", name)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(body)))]
         self.add(_member(_head(head) + body + b"\r\n\r\n"))
@@ -142,8 +144,19 @@ def _renamer(uri: str):
     return run
 
 
+def _refuse_used(spark: SparkSession, uri: str) -> None:
+    """An error where the folder has an archive already: renaming would put new files over old ones."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(where) and any(not x.getPath().getName().startswith("_temporary") for x in fs.listStatus(where)):
+        raise FileExistsError(f"{uri} is not empty")
+
+
 def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write one record for each row of pages under `uri` (an empty or new folder); returns the manifest.
+    """Write one record for each row of pages under `uri` (an empty or new folder, else an error); returns the manifest.
+
+    Shards are ranges of (id, digest), so rows with a null or equal id are cut
+    like any others; only rows equal in both stay together.
 
     Of equal payloads of REVISIT_BYTES or more, rows with the largest id are
     response records and the others revisit it; all other payloads are
@@ -152,6 +165,7 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     an id. Repeated rows are records of their own. An empty table gives an
     empty manifest. Other columns are not read.
     """
+    _refuse_used(pages.sparkSession, uri)
     text = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text.alias("html"))
     source = source.withColumn("digest", F.sha1(F.col("html").cast("binary")))
@@ -159,13 +173,14 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     heads = narrow.where(f"bytes >= {REVISIT_BYTES}").groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     marks = narrow.join(heads, "digest").where("page_id is null or page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
     total = narrow.agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).first()
-    bounds = range_bounds(narrow, "page_id", min(MAX_BLOCKS, -(-(total.b or 0) // shard_bytes)), "bytes", total.n)
+    place = F.struct(F.col("page_id").alias("a"), F.col("digest").alias("b"))
+    bounds = range_bounds(narrow, place, min(MAX_BLOCKS, -(-(total.b or 0) // shard_bytes)), "bytes", total.n)
 
     nothing = lambda kind: F.lit(None).cast(kind)
     both = source.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", nothing("long").alias("refers_to")).unionByName(
         marks.select("page_id", "digest", F.lit(0).alias("kind"), nothing("string").alias("url"), nothing("string").alias("html"), "refers_to")
     )
-    both = both.withColumn("shard", block_of(F.col("page_id"), bounds))
+    both = both.withColumn("shard", block_of(place, bounds))
     ordered = both.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     files = "name string, temporary string, records long, bytes long, sha256 string"
     finished = materialize(ordered.mapInArrow(_writer(uri, file_bytes), files), "finished")
@@ -190,6 +205,21 @@ def records_of(stream):
         yield fields, stream.read(int(fields["content-length"]))
 
 
+class _Counted:
+    """A raw stream that counts and digests what is read from it."""
+
+    def __init__(self, raw):
+        import hashlib
+
+        self.raw, self.bytes, self.sha = raw, 0, hashlib.sha256()
+
+    def read(self, n: int = -1) -> bytes:
+        data = self.raw.read(n) if n >= 0 else self.raw.read()
+        self.bytes += len(data)
+        self.sha.update(data)
+        return data
+
+
 def _reader(uri: str):
     def run(batches):
         import base64
@@ -201,11 +231,14 @@ def _reader(uri: str):
         fs, folder = pafs.FileSystem.from_uri(uri)
         rows: list[dict] = []
         for batch in batches:
-            for name in batch.column("name").to_pylist():
-                with gzip.GzipFile(fileobj=fs.open_input_stream(f"{folder}/{name}")) as stream:
+            for listed in batch.to_pylist():
+                name, seen = listed["name"], 0
+                raw = _Counted(fs.open_input_stream(f"{folder}/{name}", compression=None))
+                with gzip.GzipFile(fileobj=raw) as stream:
                     for fields, block in records_of(stream):
                         if fields["warc-type"] == "warcinfo":
                             continue
+                        seen += 1
                         head, _, payload = block.partition(b"\r\n\r\n")
                         http = dict(x.lower().split(": ", 1) for x in head.decode().split("\r\n")[1:])
                         digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
@@ -216,6 +249,10 @@ def _reader(uri: str):
                         if len(rows) == 4096:
                             yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
                             rows = []
+                while raw.read(1 << 20):
+                    pass
+                if (seen, raw.bytes, raw.sha.hexdigest()) != (listed["records"], listed["bytes"], listed["sha256"]):
+                    raise ValueError(f"{name}: {seen} records in {raw.bytes} bytes are not what the manifest lists")
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
                 rows = []
@@ -223,11 +260,17 @@ def _reader(uri: str):
     return run
 
 
-def read_warc(spark: SparkSession, uri: str) -> DataFrame:
+def read_warc(spark: SparkSession, uri: str, read_bytes: int = READ_BYTES) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) for every record on the manifest.
 
-    The payload of each response is digested again and must match its header.
+    The payload of each response is digested again and must match its header;
+    a file whose records, bytes or digest are not the manifest's, such as one
+    cut at the end of a record, is an error. Files are dealt out to as many
+    tasks as their bytes ask for.
     """
     manifest = spark.read.parquet(f"{uri}/_manifest")
+    total = manifest.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).first()
+    tasks = max(1, min(total.files, max(2 * spark.sparkContext.defaultParallelism, -(-(total.bytes or 0) // read_bytes))))
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return manifest.repartition(F.col("name")).mapInArrow(_reader(uri), schema)
+    # a number given by hand is kept by adaptive execution, which would read a small manifest in one task
+    return manifest.select("name", "records", "bytes", "sha256").repartition(tasks, "name").mapInArrow(_reader(uri), schema)
