@@ -15,14 +15,14 @@ until the bounds meet; the capacity is then exact.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm.ranges import block_of
 from larkspan.session import discard, materialize
 
-#: Hex digits of the first cells, and rows of cells that are split into whole groups at once.
-FIRST_DIGITS, WHOLE_ROWS = 4, 300_000
+#: Hex digits of the first cells, rows of cells that are split into whole groups at once, and cells split in one round.
+FIRST_DIGITS, WHOLE_ROWS, SPLIT_CELLS = 4, 20_000, 256
 
 
 def fill(ends: np.ndarray, capacity: int, most: int) -> list[int] | None:
@@ -92,27 +92,32 @@ def even_starts(sizes: np.ndarray, shards: int) -> list[int]:
 
 
 def _cells(rows: DataFrame, digits: int, within: list[str] | None = None) -> list:
+    """(p, size, n, whole) of the groups that share a prefix p of the key; whole where that is one group."""
     if within is not None:
         rows = rows.where(F.substring("key", 1, len(within[0])).isin(within))
     grouped = rows.groupBy(F.substring("key", 1, digits).alias("p"))
-    return grouped.agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
+    return grouped.agg(F.sum("size").alias("size"), F.count("*").alias("n"), (F.min("key") == F.max("key")).alias("whole")).collect()
 
 
-def minimax_cuts(rows: DataFrame, shards: int) -> list[str]:
-    """Keys that start shards 1, 2...: fewer than shards - 1 where there are fewer groups.
+def minimax_cuts(rows: DataFrame, shards: int, first_digits: int = FIRST_DIGITS, whole_rows: int = WHOLE_ROWS) -> list[str]:
+    """Prefixes of keys that start shards 1, 2...: fewer than shards - 1 where there are fewer groups.
 
-    rows: key (hex digest), size. What the driver holds is bounded by 65,536
-    cells plus, for each round of splitting, the cells between the two fills.
+    rows: key (hex digest), size. What the driver holds is bounded: at most
+    16 ** first_digits cells, and for each round of splitting at most
+    SPLIT_CELLS cells into 256 parts each, or whole_rows groups. Cells between
+    the cuts of both fills are split first; where those are whole groups, the
+    largest of the others are.
     """
-    cells = sorted(_cells(rows, FIRST_DIGITS), key=lambda c: c.lo)
+    cells = sorted(_cells(rows, first_digits), key=lambda c: c.p)
     if not cells:
         return []
     while True:
         sizes = np.array([c.size for c in cells], np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        whole = np.array([c.lo == c.hi for c in cells])
+        whole = np.array([c.whole for c in cells])
         total = int(ends[-1])
-        high = least(lambda c: fill(ends, c, shards), 1, total)  # noqa: B023
+        # only a single group may stand alone above the capacity, so cells of several bound it from below
+        high = max(least(lambda c: fill(ends, c, shards), 1, total), int(sizes[~whole].max(initial=0)))  # noqa: B023
         low = least(lambda c: fill_through(ends, whole, c, shards), 1, high)  # noqa: B023
         if low == high or whole.all():
             break
@@ -124,13 +129,13 @@ def minimax_cuts(rows: DataFrame, shards: int) -> list[str]:
             hit[max(first - 1, 0) : last + 1] = True
         hit |= sizes > low  # what may stand alone must be known
         chosen = [c for c, h, w in zip(cells, hit, whole, strict=True) if h and not w] or [c for c, w in zip(cells, whole, strict=True) if not w]
-        at = len(chosen[0].p) if len({len(c.p) for c in chosen}) == 1 else min(len(c.p) for c in chosen)
-        chosen = [c for c in chosen if len(c.p) == at]
-        digits = 64 if sum(c.n for c in chosen) <= WHOLE_ROWS else at + 2
+        at = min(len(c.p) for c in chosen)
+        chosen = sorted((c for c in chosen if len(c.p) == at), key=lambda c: -c.size)[:SPLIT_CELLS]
+        digits = 64 if sum(c.n for c in chosen) <= whole_rows else at + 2
         gone = {c.p for c in chosen}
         cells = [c for c in cells if c.p not in gone] + _cells(rows, digits, sorted(gone))
-        cells.sort(key=lambda c: c.lo)
-    return [cells[i].lo for i in even_starts(sizes, shards)]
+        cells.sort(key=lambda c: c.p)
+    return [cells[i].p for i in even_starts(sizes, shards)]
 
 
 def _offsets(spark: SparkSession, counts: list) -> DataFrame:
@@ -143,7 +148,7 @@ def _offsets(spark: SparkSession, counts: list) -> DataFrame:
     return spark.createDataFrame(out, "file long, shard int, add long")
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16) -> DataFrame:
+def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, spread_copies: bool = False) -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard) for every row of docs, by the law `bytes`.
 
     size is the text's UTF-8 bytes plus 1; a null text counts as empty and is
@@ -152,10 +157,17 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows equal in both are interchangeable. grown_shard is null. Fewer texts
     than shards leave the last shards empty; an empty table gives an empty
     result. Other columns are not read.
+
+    With spread_copies a row is a group of its own, ordered by a digest of its
+    text, id and the number of the copy: the copies of a mixture's document
+    then lie anywhere, as its shuffle wants, and not side by side in one shard.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("key"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    if spread_copies:
+        numbered = F.row_number().over(Window.partitionBy("id", "key").orderBy("id"))  # as many as a document has copies
+        narrow = narrow.withColumn("key", F.sha2(F.concat_ws("|", "key", F.col("id").cast("string"), numbered.cast("string")), 256))
     narrow = materialize(narrow, "narrow")
     place = F.monotonically_increasing_id()
     rows = materialize(narrow.repartitionByRange("key", "id").sortWithinPartitions("key", "id").withColumn("place", place), "rows")
