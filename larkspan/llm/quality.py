@@ -4,8 +4,8 @@ Two logistic models over shape features and a few telling words give each
 document the evidence that it is good (label quality) and that it is toxic
 (label toxic). The chance of good is averaged over each host and each path of
 a host; both means are shrunk, a path's toward its host's and a host's toward
-the global one, with a strength estimated from how much sites differ. The
-path's posterior then moves the document's odds. A document is kept if its
+the global one, with a strength estimated from how much sites differ. What the
+path's other documents say then moves the document's odds. A document is kept if its
 posterior is at least one half and it is not more likely toxic than not.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspan.session import discard, materialize
+from larkspan.session import materialize
 
 #: Labelled documents that the models are fitted on, at most (about; chosen by a hash of the id).
 SAMPLE = 8000
@@ -145,13 +145,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The models of good and of toxic, from at most about `sample` labelled documents.
 
     Labels are (id_col, quality, toxic); a null label counts as quality 1 or
-    toxic 0. Without labels, or with one class alone, a model gives a constant.
+    toxic 0. Of repeated labels the least quality and the greatest toxicity
+    count, of repeated documents the least text, so that the sample is bounded
+    by ids and rows alike. Without labels, or with one class alone, a model
+    gives a constant.
     """
     labels = labels.select(F.col(id_col).alias("__id"), F.coalesce(F.col("quality").cast("int"), F.lit(1)).alias("quality"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic"))
+    labels = labels.where("__id is not null").groupBy("__id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     n = labels.count()
     chosen = labels.where(F.pmod(F.xxhash64("__id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)) + 1)
     # the sample's size is bounded by the parameter
     joined = docs.select(F.col(id_col).alias("__d"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("__d") == F.col("__id"))
+    joined = joined.groupBy("__id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
     got = joined.select("text", "quality", "toxic").mapInArrow(_extract, "quality int, toxic int, shapes array<double>, words array<long>").toArrow()
     shapes = np.array(got.column("shapes").to_pylist(), float).reshape(-1, len(SHAPES))
     words = [np.asarray(w.values, np.int64).view(np.uint64) for w in got.column("words").combine_chunks()] if len(shapes) else []
@@ -172,31 +177,36 @@ def _score(heads, text_at: int, keep: list[int]):
 
 
 def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """(host, path, global_mean, p_host, p_path) from evidence (host, path, p_evidence), by grouped aggregation alone.
-
-    The strength of a prior is its mean's m (1 - m) over the variance between
-    the group means that sampling does not explain, less 1, held to 1..10,000.
+    """(host, path, n, s, hn, hs, global_mean, a, b, p_host, p_path) from evidence (host, path, p_evidence), by grouped aggregation alone.
+
+    n, s and hn, hs are rows and sums of a path and of its host. A host's mean
+    is shrunk toward the global one with strength a, a path's toward its
+    host's with strength b. A strength is the mean m (1 - m) of the level
+    above over the variance between groups that sampling does not explain,
+    less 1, held to 1..10,000: for hosts around the global mean, for paths
+    around their own hosts' means, so what tells hosts apart is counted once.
     """
     paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_evidence").alias("s"))
     paths = materialize(paths, "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    m = F.sum("hs") / F.sum("hn")
-    top = hosts.agg(m.alias("mean"), F.sum("hn").alias("all"), F.count("*").alias("k"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("q")).first()
-    mean = min(max(top["mean"] if top["mean"] is not None else 0.5, 1e-6), 1 - 1e-6)
+    top = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n"), F.count("*").alias("k"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("q")).first()
+    low = paths.agg(F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q")).first()
+    total = top["n"] or 0
+    mean = min(max(top["s"] / total if total else 0.5, 1e-6), 1 - 1e-6)
 
-    def strength(k: int, total: int, square: float) -> float:
-        if not total or k < 2:
+    def strength(groups: int, square: float, spread: float) -> float:
+        # the square that `groups` free means show by sampling alone is theirs times m (1 - m)
+        if not total or groups < 1:
             return 10_000.0
-        spread = mean * (1 - mean)
-        # between-group variance beyond what (k - 1) groups show by sampling
-        beyond = max(square - total * mean * mean - (k - 1) * spread, 0.0) / total
+        beyond = max(square - groups * spread, 0.0) / total
         return float(min(max(spread / beyond - 1, 1.0), 10_000.0)) if beyond > 0 else 10_000.0
 
-    low = paths.agg(F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q")).first()
-    a, b = strength(top["k"], top["all"] or 0, top["q"] or 0.0), strength(low["k"], top["all"] or 0, low["q"] or 0.0)
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("hs") + a * mean) / (F.col("hn") + a)).alias("p_host"))
+    a = strength(top["k"] - 1, (top["q"] or 0.0) - total * mean * mean, mean * (1 - mean))
+    b = strength(low["k"] - top["k"], (low["q"] or 0.0) - (top["q"] or 0.0), max(mean - (top["q"] or 0.0) / total, 1e-12) if total else 0.0)
+    hosts = hosts.select(F.col("host").alias("h"), "hn", "hs", ((F.col("hs") + a * mean) / (F.col("hn") + a)).alias("p_host"))
     out = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    return out.select("host", "path", F.lit(mean).alias("global_mean"), "p_host", ((F.col("s") + b * F.col("p_host")) / (F.col("n") + b)).alias("p_path"))
+    constants = (F.lit(v).alias(k) for k, v in (("global_mean", mean), ("a", a), ("b", b)))
+    return out.select("host", "path", "n", "s", "hn", "hs", *constants, "p_host", ((F.col("s") + b * F.col("p_host")) / (F.col("n") + b)).alias("p_path"))
 
 
 def _logit(p):
@@ -205,15 +215,22 @@ def _logit(p):
 
 
 def _judged(evidence: DataFrame, sites: DataFrame, host: str, path: str) -> DataFrame:
-    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), "global_mean", "p_host", "p_path")
-    out = evidence.join(sites, F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p"))).drop("__h", "__p")
-    odds = _logit(F.col("p_evidence")) + _logit(F.col("p_path")) - _logit(F.col("global_mean"))
-    out = out.withColumn("p_good", 1 / (1 + F.exp(-odds)))
+    """evidence with p_host, p_path, p_site, p_good and kept; p_site is what the path's other documents say."""
+    columns = [c for c in sites.columns if c not in ("host", "path")]
+    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), *(F.col(c).alias(f"__{c}") for c in columns))
+    out = evidence.join(sites, F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p")))
+    e, a, b, mean = F.col("p_evidence"), F.col("__a"), F.col("__b"), F.col("__global_mean")
+    # the document's own evidence is left out of its site, or it would count twice
+    others = (F.col("__hs") - e + a * mean) / (F.col("__hn") - 1 + a)
+    site = (F.col("__s") - e + b * others) / (F.col("__n") - 1 + b)
+    out = out.withColumns({"p_host": F.col("__p_host"), "p_path": F.col("__p_path"), "p_site": site}).drop("__h", "__p", *(f"__{c}" for c in columns if c != "global_mean"))
+    odds = _logit(e) + _logit(F.col("p_site")) - _logit(mean)
+    out = out.withColumn("p_good", 1 / (1 + F.exp(-odds))).drop("__global_mean")
     return out.withColumn("kept", (F.col("p_good") >= 0.5) & (F.col("p_toxic") < 0.5))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """(id_col, host, path, p_evidence, p_toxic, p_host, p_path, p_good, kept) for every row of docs.
+    """(id_col, host, path, p_evidence, p_toxic, p_host, p_path, p_site, p_good, kept) for every row of docs.
 
     host_col and path_col name the two levels of a site; null is a value of
     its own. A null text is empty and judged by its shape. Rows with one id
@@ -224,23 +241,23 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     evidence = materialize(source.mapInArrow(_score(heads, 3, [0, 1, 2]), "id long, host string, path string, p_evidence double, p_toxic double"), "evidence")
     judged = _judged(evidence, site_posteriors(evidence), "host", "path")
-    return judged.select(F.col("id").alias(id_col), "host", "path", "p_evidence", "p_toxic", "p_host", "p_path", "p_good", "kept")
+    return judged.select(F.col("id").alias(id_col), "host", "path", "p_evidence", "p_toxic", "p_host", "p_path", "p_site", "p_good", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """docs without the rows that the classifier rejects; columns as given.
+    """docs without the rows that the classifier rejects; columns as given, whatever their names.
 
-    Texts are scored twice, once for the site means and once beside the whole
-    row, so that no shuffle moves them where the site table is small.
+    Texts are scored once: the scored rows are written, the site means are
+    read from their two narrow columns, and the rows are judged as they lie.
+    A null text is judged by its shape, null sites are sites, repeated rows
+    are judged each, and an empty table stays empty.
     """
     heads = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
     columns = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(columns))))
     text, host, path = (columns.index(c) for c in (text_col, host_col, path_col))
-    site = plain.select(F.col(f"c{host}").cast("string").alias("host"), F.col(f"c{path}").cast("string").alias("path"), F.col(f"c{text}").cast("string").alias("text"))
-    evidence = materialize(site.mapInArrow(_score(heads, 2, [0, 1]), "host string, path string, p_evidence double, p_toxic double"), "evidence")
-    sites = materialize(site_posteriors(evidence), "sites")
-    discard(evidence)
     schema = T.StructType([*plain.schema.fields, T.StructField("p_evidence", T.DoubleType()), T.StructField("p_toxic", T.DoubleType())])
-    scored = plain.mapInArrow(_score(heads, text, list(range(len(columns)))), schema)
-    return _judged(scored, sites, f"c{host}", f"c{path}").where("kept").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
+    scored = materialize(plain.mapInArrow(_score(heads, text, list(range(len(columns)))), schema), "scored")
+    site = lambda i: F.col(f"c{i}").cast("string")
+    sites = materialize(site_posteriors(scored.select(site(host).alias("host"), site(path).alias("path"), "p_evidence")), "sites")
+    return _judged(scored.withColumns({"__host": site(host), "__path": site(path)}), sites, "__host", "__path").where("kept").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
