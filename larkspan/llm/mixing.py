@@ -51,16 +51,16 @@ def tempered_weights(docs: DataFrame, alpha: float, source_col: str = "source",
     return docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.pow(size.cast("double"), F.lit(alpha)).alias("weight"))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame, epochs: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with each row repeated by its count, in a globally shuffled order; adds copy and mix_key.
+def mix_sources(docs: DataFrame, weights: DataFrame, epochs: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str = "copy", key_col: str = "mix_key") -> DataFrame:
+    """docs with each row repeated by its count, in a globally shuffled order; adds copy_col and key_col.
 
     weights: (source, weight), one row for each source; a source without a
     row, or with a null or negative weight, gets weight 0 and is left out. The
     mixture has about `epochs` times the bytes of docs. A text counts its UTF-8
     bytes plus 1; null is empty. A null source is a source. Rows with one id
     get one count; a null id is hashed as the empty string. copy runs from 1.
-    Columns of docs called copy or mix_key are replaced. An empty table gives
-    an empty result.
+    Other columns stay as they are, whatever their names; only those called
+    copy_col or key_col are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     size = F.sum(F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long") + 1)
@@ -72,12 +72,16 @@ def mix_sources(docs: DataFrame, weights: DataFrame, epochs: float = 1.0, seed:
     rates = both.select("__source", (F.col("weight") * scale / F.col("size")).alias("__rate"))
     rates = F.broadcast(rates) if total["n"] <= FEW_SOURCES else rates
 
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    placed = docs.drop("copy", "mix_key").join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
+    kept = [c for c in docs.columns if c not in (copy_col, key_col)]
+    plain = docs.select(*kept).toDF(*(f"c{i}" for i in range(len(kept))))
+    column = lambda name: F.col(f"c{kept.index(name)}")
+    key = F.coalesce(column(id_col).cast("string"), F.lit(""))
+    placed = plain.join(rates, column(source_col).cast("string").eqNullSafe(F.col("__source")))
     counted = placed.withColumn("__n", replication_count(seed, key, F.col("__rate"))).where("__n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__source", "__rate", "__n")
-    copies = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit("mix"), F.lit(seed).cast("string"), key, F.col("copy").cast("string")).cast("binary")))
+    copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__source", "__rate", "__n")
+    copies = copies.withColumn("__key", F.md5(F.concat_ws("|", F.lit("mix"), F.lit(seed).cast("string"), key, F.col("__copy").cast("string")).cast("binary")))
     # keys are uniform, so equal slices of their range are equal partitions and need no sample
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * n / (1 << 32)).cast("int")
-    return copies.repartitionById(n, part).sortWithinPartitions("mix_key")
+    part = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * n / (1 << 32)).cast("int")
+    shuffled = copies.repartitionById(n, part).sortWithinPartitions("__key")
+    return shuffled.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.col("__copy").alias(copy_col), F.col("__key").alias(key_col))
