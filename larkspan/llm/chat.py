@@ -7,20 +7,24 @@ their prefix sum, with what it repeats, stays in the budget. It repeats the
 conversation's system turn and a few turns before its own; targets among them
 are masked, so that each assistant text is learned once.
 
-Windows never cross a multiple of SEGMENT in `turn`. Each segment is an own
-unit of work, with the turns before it copied in as history, so a very long
-conversation is dealt out to many tasks and windows don't depend on partitions.
+Windows never cross a multiple of SEGMENT turns, counted from the begin of the
+conversation. Each segment is an own unit of work, with the turns before it
+copied in as history, so a very long conversation is dealt out to many tasks,
+however its turns are numbered, and windows don't depend on partitions.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turn numbers to a segment, tokens to a window, and at most so many turns and tokens of history.
+from larkspan.operators.ranking import ranked_within
+
+#: Turns to a segment, tokens to a window, and at most so many turns and tokens of history.
 SEGMENT, BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 256, 1024, 2, 256
 
 _OPEN, _CLOSE = "### ", "</turn>"
@@ -74,28 +78,37 @@ def count_tokens(rendered: str) -> int:
 
 
 def encoder(path: str):
-    """A token counter over a rank file of a public tokenizer; the path is the caller's."""
+    """A token counter over a rank file of a public tokenizer; the path is the caller's. Each worker loads the file once."""
+
+    def count(rendered: str) -> int:
+        return len(_vocabulary(path).encode_ordinary(rendered))
 
-    def count(rendered: str, have: list = []) -> int:  # noqa: B006
-        if not have:
-            import base64
+    return count
 
-            import tiktoken
 
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-            have.append(tiktoken.Encoding("own", pat_str=r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={}))
-        return len(have[0].encode_ordinary(rendered))
+@lru_cache
+def _vocabulary(path: str):
+    import base64
 
-    return count
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
 
 
 class _Segment:
-    """The windows of one segment, built turn by turn; holds one window and the limited history."""
+    """The windows of one segment, built turn by turn; holds one window and the limited history.
+
+    A turn carries the prefix sum of tokens up to its end. A window's own
+    tokens are the difference of two prefix sums.
+    """
 
     def __init__(self, key, count, budget: int, history: tuple[int, int]):
         self.key, self.count, self.budget, self.history = key, count, budget, history
         self.system, self.past, self.window, self.own = None, [], 0, []
         self.repeated: list = []
+        self.sum = self.begin = self.extra = 0  # prefix sum so far, where the window's own turns begin in it, repeated tokens
 
     def add(self, kind: int, role: str, text: str):
         """Takes a turn (0: the system turn, 1: history, 2: own); returns a finished window or None."""
@@ -108,11 +121,12 @@ class _Segment:
             self._remember(turn)
             return None
         done = None
-        if self.own and sum(t[4] for t in self.repeated + self.own) + turn[4] > self.budget:
+        if self.own and self.sum + turn[4] - self.begin + self.extra > self.budget:
             done = self.flush()
         if not self.own:
             self._open(turn[4])
         self.own.append(turn)
+        self.sum += turn[4]
         if role == "system" and self.system is None:
             self.system = turn
         self._remember(turn)
@@ -123,15 +137,17 @@ class _Segment:
             self.past = [*self.past, turn][-self.history[0] :] if self.history[0] else []
 
     def _open(self, needed: int) -> None:
-        """Choose what the next window repeats: the system turn, then the latest turns that fit."""
-        left = self.budget - needed - (self.system[4] if self.system else 0)
-        room, kept = min(self.history[1], left), []
+        """Choose what the next window repeats beside a turn of `needed` tokens: the system turn if it fits, then the latest turns that fit."""
+        left = self.budget - needed
+        self.repeated = [self.system] if self.system and self.system[4] <= left else []
+        room, kept = min(self.history[1], left - sum(t[4] for t in self.repeated)), []
         for turn in reversed(self.past):
             if turn[4] > room:
                 break
             room -= turn[4]
             kept.insert(0, turn)
-        self.repeated = ([self.system] if self.system else []) + kept
+        self.repeated += kept
+        self.begin, self.extra = self.sum, sum(t[4] for t in self.repeated)
 
     def flush(self) -> dict | None:
         if not self.own:
@@ -144,7 +160,7 @@ class _Segment:
             at += len(rendered)
             parts.append(rendered)
         row = {"conv_id": self.key[0], "segment": self.key[1], "window": self.window, "text": "".join(parts), "n_turns": len(parts), "n_repeated": len(self.repeated)}
-        row |= {"n_tokens": sum(t[4] for t in self.repeated + self.own), "loss_start": starts, "loss_end": ends}
+        row |= {"n_tokens": self.sum - self.begin + self.extra, "loss_start": starts, "loss_end": ends}
         self.window, self.own, self.repeated = self.window + 1, [], []
         return row
 
@@ -177,27 +193,29 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
     loss_start and loss_end bound, in code points of the window's text, the
     escaped texts of its own assistant turns. Turns are ordered by turn (nulls
     first), then role, then text; equal rows are turns of their own. A null
-    text or role is empty, a null conv_id is a conversation. A turn beyond the
-    budget has a window of its own. A repeated system turn is the first row
-    of the conversation with the role `system`. An empty table gives no
+    text or role is empty, a null conv_id is a conversation. Only a turn beyond
+    the budget makes a window beyond it, and has that window to itself. The
+    repeated system turn is the first row of the conversation with the role
+    `system`; a window whose first own turn leaves no room for it goes without. An empty table gives no
     windows. Other columns are not read.
     """
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(0)) / SEGMENT).cast("long").alias("segment"),
         F.lit(2).alias("kind"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    before = rows.where(F.pmod("turn", F.lit(SEGMENT)) >= SEGMENT - history_turns).withColumn("segment", F.col("segment") + 1).withColumn("kind", F.lit(1))
+    rows = ranked_within(rows, ["conv_id"], ["turn", "role", "text"], "rank").withColumn("segment", F.floor(F.col("rank") / SEGMENT).cast("long"))
+    before = rows.where(F.pmod("rank", F.lit(SEGMENT)) >= SEGMENT - history_turns).withColumn("segment", F.col("segment") + 1).withColumn("kind", F.lit(1))
     spread = rows.groupBy("conv_id", "segment").agg(F.lit(1).alias("one"))
-    system = rows.where("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("segment", "turn", "role", "text")).alias("s"))
+    system = rows.where("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("rank", "segment", "role", "text")).alias("s"))
     system = system.select(F.col("conv_id").alias("c"), "s")
-    copied = spread.join(system, F.col("conv_id").eqNullSafe(F.col("c"))).where("segment > s.segment").select("conv_id", "segment", F.lit(0).alias("kind"), "s.turn", "s.role", "s.text")
-    every = rows.unionByName(before).unionByName(copied)
-    dealt = every.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "kind", "turn", "role", "text")
-    return dealt.drop("turn").mapInArrow(_format(count, budget, (history_turns, history_tokens)), _WINDOWS_DDL)
+    copied = spread.join(system, F.col("conv_id").eqNullSafe(F.col("c"))).where("segment > s.segment").select("conv_id", "segment", F.lit(0).alias("kind"), "s.rank", "s.role", "s.text")
+    # history after the last turn of a conversation is in a segment without turns of its own, which makes no window
+    every = rows.drop("turn").unionByName(before.drop("turn")).unionByName(copied)
+    dealt = every.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "kind", "rank")
+    return dealt.select("conv_id", "segment", "kind", "role", "text").mapInArrow(_format(count, budget, (history_turns, history_tokens)), _WINDOWS_DDL)
 
 
 def _read(batches):
