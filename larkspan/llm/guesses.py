@@ -21,11 +21,12 @@ ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrs
 LEET = str.maketrans("4@8301!5$7", "aabeolisst")
 
 _RANK = {w: i + 1 for i, w in reversed([*enumerate(WORDS)])}
-_LENGTHS = sorted({len(w) for w in _RANK})
 _NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 _DATE = re.compile(r"(?=((?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d))")
 _YEAR = re.compile(r"(?=((?:19|20)\d\d))")
 _REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
+#: Letters of a dictionary word at most.
+LONGEST = 24
 DATE_COST, YEAR_COST = log10(365 * 200), log10(200)
 
 
@@ -46,12 +47,22 @@ def _walks(low: str):
                 start = i
 
 
-def guess_cost(value: str) -> float:
+def ranks(words: list[str]) -> dict[str, int]:
+    """The rank of each word: the fixed words first, then the given ones in their order."""
+    out = dict(_RANK)
+    for i, w in enumerate(words):
+        out.setdefault(w, len(_RANK) + i + 1)
+    return out
+
+
+def guess_cost(value: str, known: dict[str, int] | None = None) -> float:
     """log10 of the guesses for the whole value, by dynamic programming over its prefixes.
 
-    Time grows with the length, times the number of word lengths. The empty
+    known gives words their ranks (ranks()); the fixed words are the default.
+    Time grows with the length, times the greatest word length. The empty
     value costs 0.
     """
+    known = _RANK if known is None else known
     each = log10(alphabet(value))
     low = value.lower()
     plain = low.translate(LEET) if len(low) == len(value) else low
@@ -69,11 +80,9 @@ def guess_cost(value: str) -> float:
     best = [0.0] * (len(value) + 1)
     for end in range(1, len(value) + 1):
         cost = best[end - 1] + each
-        for n in _LENGTHS:
-            if n > end:
-                break
+        for n in range(2, min(end, LONGEST) + 1):
             start = end - n
-            rank = _RANK.get(plain[start:end])
+            rank = known.get(plain[start:end])
             if rank:
                 changed = (plain[start:end] != low[start:end]) + (low[start:end] != value[start:end])
                 cost = min(cost, best[start] + log10(rank + 1) + changed * log10(2 * n))

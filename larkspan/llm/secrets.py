@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.guesses import guess_cost
+from larkspan.llm.guesses import guess_cost, ranks
 
 #: log10 of the guesses from which a value in credential context is a secret.
 COST = 9.0
+#: Words of the corpus' dictionary, and texts that a word must stand in.
+DICTIONARY, LEAST_TEXTS = 20_000, 5
 
 # fixed values: the base patterns
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -42,22 +45,28 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(*m.span(), "hex") for m in _HEX.finditer(text) if m.end() - m.start() >= 32]
 
 
-def guess_spans(text: str, base: list[tuple[int, int, str]], cost: float = COST) -> list[tuple[int, int, str]]:
+def guess_spans(text: str, base: list[tuple[int, int, str]], cost: float = COST, known: dict[str, int] | None = None) -> list[tuple[int, int, str]]:
     """Spans of values in credential context that no base span overlaps and that cost at least 10 ** cost guesses.
 
     A quoted value is whole, spaces and punctuation included. Without quotes
     after a plain "is" or "was", a word of small letters is taken for prose.
-    A value that is no secret is searched for others inside.
+    A value that is no secret is searched for others inside. Base spans are
+    found by bisection, so time grows with the text alone.
     """
-    taken, out, at = sorted(base), [], 0
+    starts, reach = [], []
+    for a, b, _ in sorted(base):
+        starts.append(a)
+        reach.append(max(b, reach[-1] if reach else 0))  # as far as this or any span before it goes
+    out, at = [], 0
     while m := _CONTEXT.search(text, at):
         at = m.end("gap")
         start = m.start("quoted") if m["quote"] else m.start("bare")
         value = m["quoted"] if m["quote"] else m["bare"].rstrip(".!?)]}:")
         end = start + len(value)
-        if not m["quote"] and m["verb"] and _PROSE.fullmatch(value) or any(a < end and start < b for a, b, _ in taken):
+        before = bisect_left(starts, end)
+        if not m["quote"] and m["verb"] and _PROSE.fullmatch(value) or before and reach[before - 1] > start:
             continue
-        if guess_cost(value) >= cost:
+        if guess_cost(value, known) >= cost:
             out.append((start, end, "guess"))
             at = m.end()
     return out
@@ -67,8 +76,9 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], _ORDER[s[2]], s[1])))
 
 
-def _scan(cost: float):
+def _scan(cost: float, shared):
     def run(batches):
+        known = ranks(shared.value)
         empty = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
@@ -82,21 +92,38 @@ def _scan(cost: float):
                 for *_, kind in base:
                     counts[kind][i] += 1
                 sha[i] = hashlib.sha256(_joined(base).encode()).hexdigest()
-                joined[i] = _joined(base + guess_spans(text, base, cost))
+                joined[i] = _joined(base + guess_spans(text, base, cost, known))
             columns = [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in ("assign", "access", "hex")), pa.array(sha, pa.string()), pa.array(joined, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
     return run
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cost: float = COST) -> DataFrame:
-    """(id_col, n_assign, n_access, n_hex, base_sha256, spans) for every row of docs; one pass, no shuffle.
+def frequent_words(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:
+    """The `size` words that stand in the most texts of docs, most frequent first, ties by the word.
+
+    Words are runs of 3 to 24 letters A-Z, lower-cased, counted once a text
+    over all texts; a word must stand in at least LEAST_TEXTS of them, or a
+    secret would be its own dictionary. What is collected has `size` words.
+    """
+    low = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    words = docs.select(F.explode(F.array_distinct(F.split(low, "[^a-z]+"))).alias("w")).where(F.length("w").between(3, 24))
+    counted = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    return [r.w for r in counted.orderBy(F.desc("n"), "w").limit(size).collect()]
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cost: float = COST, dictionary: list[str] | None = None) -> DataFrame:
+    """(id_col, n_assign, n_access, n_hex, base_sha256, spans) for every row of docs.
 
     spans lists kind:start:end in code points, by start, then assign, access,
-    hex, guess. A null text counts as empty and has no spans; a null id stays
-    null; repeated rows are scanned each; an empty table gives an empty
+    hex, guess. The dictionary of the guess cost is the corpus' own, see
+    frequent_words, unless one is given; it is broadcast, at most about
+    DICTIONARY words. A null text counts as empty and has no spans; a null id
+    stays null; repeated rows are scanned each; an empty table gives an empty
     result. Other columns are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = source.mapInArrow(_scan(cost), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    words = frequent_words(docs, text_col) if dictionary is None else dictionary
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    out = source.mapInArrow(_scan(cost, shared), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     return out.withColumnRenamed("id", id_col)
