@@ -14,9 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm.grams import code_points, gram_hash, let, map_grams
+from larkspan.session import discard, materialize
 
 #: Hashed features, n-gram lengths, epochs, step and ridge.
-DIMS, LENGTHS, EPOCHS, STEP, RIDGE = 2048, (3, 4, 5), 20, 0.5, 1e-4
+DIMS, LENGTHS, EPOCHS, STEP, RIDGE = 1 << 14, (3, 4, 5), 20, 1.5, 1e-4
+
+#: Labelled urls to a task of an epoch.
+ROWS_A_TASK = 50_000
 
 # fixed values: (verdict, host and its subdomains, start of the path)
 RULES = (
@@ -27,24 +31,24 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-# fixed values: parts of the small labelled table; a url is blocked for its words
-_GOOD_HOSTS = "news blog docs wiki library museum school science history weather recipes travel garden music sport forum shop bank health city then thing there tion www m".split()
-_GOOD_PATHS = "about article index contact guide lesson archive story help today page.html en/12 en/345 en/678/ en/9.html de/67 de/235 fr/890 fr/41/ es/41 es/502.html".split()
+# fixed values: parts of the small labelled table; a url is blocked for the words of its host or path
+_GOOD_HOSTS = "news blog docs wiki library museum school science history weather recipes travel garden music sport forum shop bank health city archive press research studio market council".split()
+_GOOD_PATHS = "about articles/2041 index.html contact guide/chapter-3 lessons/7 story help/faq today page/18 products/item-55.html events/2019/05 team images/logo.png data/v2 search p/9 notes/12/3".split()
 _BAD_HOSTS = "spam-farm casino-win xxx-videos free-pills cheap-loans hot-dates click-bait lucky-slots adult-chat fake-bags ad-tracker porn-hub poker-cash warez-crack spam-links viagra-sale".split()
 _BAD_PATHS = "casino/bonus xxx/hot pills/cheap loans/payday slots/jackpot poker/win porn/free crack/serial spam/offer adult/cams click/track viagra/buy".split()
-_ZONES = ("example.com", "example.org", "example.net")
+_ZONES = ("example.org", "example.com", "example.net", "org", "co.uk", "info")
 
 
 def labelled_urls() -> list[tuple[str, float]]:
-    """About 250 urls with 1.0 for those to be blocked: every host word with a few paths of either kind."""
+    """About 260 urls with 1.0 for those to be blocked: every host word with a few paths of either kind, under zones of all kinds."""
     out = []
     for i, host in enumerate(_GOOD_HOSTS + _BAD_HOSTS):
         bad = host in _BAD_HOSTS
         for j in range(3 if bad else 6):
             path = _GOOD_PATHS[(5 * i + 4 * j) % len(_GOOD_PATHS)]
-            out.append((f"https://{host}.{_ZONES[j % 3]}/{path}", float(bad)))
+            out.append((f"https://{host}.{_ZONES[(i + j) % len(_ZONES)]}/{path}", float(bad)))
         if not bad:
-            out.append((f"http://{host}.{_ZONES[i % 3]}/{_BAD_PATHS[i % len(_BAD_PATHS)]}", 1.0))
+            out.append((f"http://{host}.{_ZONES[i % len(_ZONES)]}/{_BAD_PATHS[i % len(_BAD_PATHS)]}", 1.0))
     return out
 
 
@@ -81,7 +85,8 @@ def margin(found: Column, weights: Column, bias: float) -> Column:
 def train(labelled: DataFrame, epochs: int = EPOCHS) -> tuple[list[float], float]:
     """Weights and bias from labelled (url, block), by gradient steps scaled by each weight's past gradients."""
     host, path = url_parts(F.col("url"))
-    rows = labelled.where("url is not null and block is not null").select(features(host, path).alias("f"), F.col("block").cast("double").alias("y")).coalesce(1).cache()
+    rows = labelled.where("url is not null and block is not null").select(features(host, path).alias("f"), F.col("block").cast("double").alias("y"))
+    rows = materialize(rows.repartition(max(1, -(-labelled.count() // ROWS_A_TASK))), "labelled")
     n = rows.count()
     weights, bias, past, bias_past = [0.0] * DIMS, 0.0, [1e-8] * DIMS, 1e-8
     for _ in range(epochs if n else 0):
@@ -96,7 +101,7 @@ def train(labelled: DataFrame, epochs: int = EPOCHS) -> tuple[list[float], float
                 g -= RIDGE * weights[d] * n
                 past[d] += g * g
                 weights[d] += STEP * g / sqrt(past[d])
-    rows.unpersist()
+    discard(rows)
     return weights, bias
 
 
