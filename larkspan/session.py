@@ -38,17 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-#: Bytes of Parquet that may well be one row group, which Spark reads in one task.
+#: Bytes of a Parquet file that may well be one row group, which Spark reads in one task.
 ONE_GROUP = 32 << 20
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """A scanned table; one so small that a single task may read it all is dealt out to all cores, a larger one is left as it lies.
+    """A scanned table; a single small file, which one task may read alone, is dealt out to all cores, any other table is left as it lies.
 
     Only the place of rows changes, never the rows.
     """
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if (4 << 20) < size < ONE_GROUP else rows
+    if (4 << 20) < size < ONE_GROUP and len(rows.inputFiles()) == 1:
+        return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return rows
 
 
 def _delete(spark: SparkSession, path: str) -> None:
