@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from larkspan.llm.ranges import MAX_BLOCKS, block_of, range_bounds
 from larkspan.session import _delete, discard, materialize
 
-#: Payload bytes for each shard, least payload that a revisit record stands for, compressed size at which a file rolls.
-SHARD_BYTES, REVISIT_BYTES, FILE_BYTES = 128 << 20, 1000, 16 << 20
+#: Payload bytes for each shard, and least payload that a revisit record stands for.
+SHARD_BYTES, REVISIT_BYTES = 32 << 20, 1000
+#: Compressed size at which a file rolls: this part of a shard's payload, but at least so much. HTML packs to about a
+#: quarter, so a shard makes a few files: of 4 MB for small tables, of 200 MB where 100 TB lie in MAX_BLOCKS shards.
+FILE_PART, FILE_BYTES = 16, 4 << 20
 #: Compressed bytes that one reading task takes, about.
 READ_BYTES = 32 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -152,7 +155,7 @@ def _refuse_used(spark: SparkSession, uri: str) -> None:
         raise FileExistsError(f"{uri} is not empty")
 
 
-def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, file_bytes: int | None = None) -> DataFrame:
     """Write one record for each row of pages under `uri` (an empty or new folder, else an error); returns the manifest.
 
     Shards are ranges of (id, digest), so rows with a null or equal id are cut
@@ -176,6 +179,8 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     place = F.struct(F.col("page_id").alias("a"), F.col("digest").alias("b"))
     bounds = range_bounds(narrow, place, min(MAX_BLOCKS, -(-(total.b or 0) // shard_bytes)), "bytes", total.n)
 
+    file_bytes = file_bytes or max(FILE_BYTES, (total.b or 0) // (len(bounds) + 1) // FILE_PART)
+
     nothing = lambda kind: F.lit(None).cast(kind)
     both = source.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", nothing("long").alias("refers_to")).unionByName(
         marks.select("page_id", "digest", F.lit(0).alias("kind"), nothing("string").alias("url"), nothing("string").alias("html"), "refers_to")
