@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.guesses import guess_cost, ranks
+from larkspan.session import discard, materialize
 
 #: log10 of the guesses from which a value in credential context is a secret.
 COST = 9.0
@@ -100,16 +101,28 @@ def _scan(cost: float, shared):
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:
-    """The `size` words that stand in the most texts of docs, most frequent first, ties by the word.
+    """The words that stand in the most texts of docs, at most `size`, most frequent first, ties by the word.
 
     Words are runs of 3 to 24 letters A-Z, lower-cased, counted once a text
     over all texts; a word must stand in at least LEAST_TEXTS of them, or a
-    secret would be its own dictionary. What is collected has `size` words.
+    secret would be its own dictionary. Words are taken by steps of frequency,
+    32 to a doubling, as long as a whole step fits: a sort with a limit would
+    send `size` words of every partition to the driver.
     """
     low = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     words = docs.select(F.explode(F.array_distinct(F.split(low, "[^a-z]+"))).alias("w")).where(F.length("w").between(3, 24))
-    counted = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    return [r.w for r in counted.orderBy(F.desc("n"), "w").limit(size).collect()]
+    counted = materialize(words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS), "words")
+    step = F.floor(F.log2("n") * 32)
+    steps = counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()  # a few thousand at most
+    room, least = size, None
+    for r in sorted(steps, key=lambda r: -r.step):
+        room -= r.words
+        if room < 0:
+            break
+        least = r.step
+    found = [] if least is None else counted.where(step >= least).collect()
+    discard(counted)
+    return [r.w for r in sorted(found, key=lambda r: (-r.n, r.w))]
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cost: float = COST, dictionary: list[str] | None = None) -> DataFrame:
