@@ -14,7 +14,7 @@ from larkspan.llm.mixing import mix_sources, tempered_weights
 from larkspan.llm.near_dedup import drop_near_duplicates
 from larkspan.llm.quality import keep_good
 from larkspan.llm.sharding import shard_documents
-from larkspan.session import discard, materialize
+from larkspan.session import dealt, discard, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
         discard(before)
