@@ -17,10 +17,12 @@ CONTEXT_CHARS, CONTEXT_SCORE = 50, 0.35
 def detections(text: Column, patterns: list[tuple]) -> Column:
     """array<struct(category, start, end, value, score)> of one text, pattern by pattern: no rows are made or moved."""
 
-    def scored(category: str, pattern: str, score: float, words: str = "") -> Column:
+    def scored(category: str, pattern: str, score: float, words: str | tuple[str, ...] = "") -> Column:
+        words = words.split() if isinstance(words, str) else words
+
         def one(s: Column) -> Column:
             before = F.lower(F.element_at(F.split(F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS))), "\n"), -1))
-            near = bound(before, lambda b: reduce(lambda a, w: a | F.contains(b, F.lit(w)), words.split(), F.lit(False)))
+            near = bound(before, lambda b: reduce(lambda a, w: a | F.contains(b, F.lit(w.lower())), words, F.lit(False)))
             total = F.when(near, F.least(F.lit(score + CONTEXT_SCORE), F.lit(1.0))).otherwise(F.lit(score)) if words else F.lit(score)
             return F.struct(F.lit(category).alias("category"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), total.alias("score"))
 

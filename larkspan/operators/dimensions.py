@@ -37,16 +37,24 @@ REPLAY_LABELS = {"GIVENNAME": "PERSON", "SURNAME": "PERSON", "CITY": "LOCATION",
 # fixed values: categories that both dimensions have, by name
 SHARED_CATEGORIES = [("NAME", "FULL_NAME"), ("EMAIL", "EMAIL"), ("PHONE", "PHONE"), ("SSN", "SSN"), ("DATE", "DOB"), ("GEO_SUBDIVISION", "RESIDENTIAL_ADDRESS")]
 
-# fixed values: recogniser patterns as (category, pattern, score)
+# fixed values: context words of the healthcare recognisers
+_PLAN = ("plan", "insurance", "policy", "member", "health plan", "subscriber")
+_DEVICE = ("device", "implant", "pacemaker", "serial")
+_ACCOUNT = ("account", "billing", "patient account")
+_LICENSE = ("license", "certification", "credential", "DEA")
+_BIOMETRIC = ("biometric", "fingerprint", "iris", "retina", "voice print")
+_STUDY = ("study", "trial", "protocol", "subject", "participant")
+
+# fixed values: recogniser patterns as (category, pattern, score, context words)
 HEALTH_PATTERNS = [
-    ("HEALTH_PLAN_ID", r"\bHP-[A-Z0-9]{5,15}\b", 0.85),
-    ("DEVICE_ID", r"\bDEV-[A-Z0-9]{8,20}\b", 0.85),
-    ("ACCOUNT_NUMBER", r"\bACCT-[A-Z0-9]{8,15}\b", 0.85),
-    ("LICENSE_NUMBER", r"\bLIC-[A-Z0-9]{6,12}\b", 0.85),
-    ("BIOMETRIC_ID", r"\bBIO-FINGERPRINT-[A-Z0-9]{12,32}\b", 0.90),
-    ("BIOMETRIC_ID", r"\bBIO-[A-Z]+-[A-Z0-9]{8,32}\b", 0.80),
-    ("OTHER_UNIQUE_ID", r"\bSTUDY-[A-Z0-9]{6,12}\b", 0.85),
-    ("OTHER_UNIQUE_ID", r"\b[A-Z]{2,5}-[A-Z0-9]{6,16}\b", 0.45),
+    ("HEALTH_PLAN_ID", r"\bHP-[A-Z0-9]{5,15}\b", 0.85, _PLAN),
+    ("DEVICE_ID", r"\bDEV-[A-Z0-9]{8,20}\b", 0.85, _DEVICE),
+    ("ACCOUNT_NUMBER", r"\bACCT-[A-Z0-9]{8,15}\b", 0.85, _ACCOUNT),
+    ("LICENSE_NUMBER", r"\bLIC-[A-Z0-9]{6,12}\b", 0.85, _LICENSE),
+    ("BIOMETRIC_ID", r"\bBIO-FINGERPRINT-[A-Z0-9]{12,32}\b", 0.90, _BIOMETRIC),
+    ("BIOMETRIC_ID", r"\bBIO-[A-Z]+-[A-Z0-9]{8,32}\b", 0.80, _BIOMETRIC),
+    ("OTHER_UNIQUE_ID", r"\bSTUDY-[A-Z0-9]{6,12}\b", 0.85, _STUDY),
+    ("OTHER_UNIQUE_ID", r"\b[A-Z]{2,5}-[A-Z0-9]{6,16}\b", 0.45, _STUDY),
 ]
 FINANCE_PATTERNS = [
     ("BANK_ROUTING_NUMBER", r"\b\d{9}\b", 0.6, "routing aba transit"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import canonical, spans
-from larkspan.operators import gates
+from larkspan.operators import custody, gates
 from larkspan.operators.dimensions import COMMON_PATTERNS
 from larkspan.plans import sql
 from larkspan.plans.detection import table
@@ -124,11 +124,31 @@ def split_integrity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.split_integrity_stats(gates.signed_rows(split_rows(spark, sf_dir)))
 
 
+_ASKED = "CASE item_id % 5 WHEN 0 THEN concat('rows/', CAST(item_id AS STRING)) WHEN 1 THEN concat('data/eval/rows/', CAST(item_id - 1 AS STRING)) WHEN 2 THEN concat('rows/../', CAST(item_id AS STRING)) WHEN 3 THEN concat('/abs/', CAST(item_id AS STRING)) ELSE concat('xrows/', CAST(item_id - 4 AS STRING)) END"
+_ENTRY, _ROLE = "concat('rows/', CAST(item_id AS STRING))", "CASE WHEN item_id % 10 < 5 THEN 'eval-only' ELSE 'train' END"
+
+
+def custody_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared inputs against a manifest whose eval-only entries no run may read."""
+    items = table(spark, sf_dir, "benchmark")
+    return custody.custody_failures(items.select(F.expr(_ASKED).alias("path")), items.select(F.expr(_ENTRY).alias("path_or_ref"), F.expr(_ROLE).alias("role")))
+
+
+_EPOCHS = "CASE WHEN item_id % 13 = 4 THEN item_id WHEN item_id % 11 = 6 THEN NULL ELSE item_id + 1 END"
+_STEPS = "CASE WHEN item_id % 7 = 2 THEN (item_id + 1) * 50 + 1 ELSE (item_id + 1) * 50 END"
+
+
+def epoch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training records of 50-step epochs, some off their boundary, repeated, beyond the end, without loss or missing."""
+    rows = table(spark, sf_dir, "benchmark").select(F.expr(_EPOCHS).alias("epoch"), F.expr(_STEPS).alias("global_step"), F.when(F.expr("item_id % 9 <> 5"), F.lit(0.5)).alias("loss"))
+    return custody.epoch_failures(rows, 50, 1500)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         row_validation_failures, quarantine_failures, duplicate_ids, family_split_conflicts, power_floor_counts, power_floor_check, manifest_hygiene,
-        contamination_8gram, contamination_failures, exact_duplicates, masked_signatures, nearest_jaccard, split_integrity_failures, split_integrity_stats,
+        contamination_8gram, contamination_failures, exact_duplicates, masked_signatures, nearest_jaccard, split_integrity_failures, split_integrity_stats, custody_failures, epoch_failures,
     )
 }
 
@@ -203,6 +223,14 @@ UNION ALL SELECT min(id), count(*), CASE WHEN count(DISTINCT split) > 1 THEN 'ma
 UNION ALL SELECT min(id), count(*), CASE WHEN count(*) > 2 THEN 'masked_copies' END FROM signed GROUP BY signature) WHERE rule IS NOT NULL"""
 
 ORACLES: dict[str, str] = {
+    "custody_failures": f"""WITH p AS (SELECT DISTINCT {_ASKED} AS path FROM benchmark), e AS (SELECT DISTINCT {_ENTRY} AS entry FROM benchmark WHERE {_ROLE} = 'eval-only')
+SELECT path AS scope, 'eval_only' AS rule, entry AS message FROM p JOIN e ON path = entry OR ends_with(path, '/' || entry)
+UNION ALL SELECT path, 'unsafe_reference', '' FROM p WHERE path LIKE '/%' OR list_contains(string_split(path, '/'), '..')""",
+    "epoch_failures": f"""WITH r AS (SELECT {_EPOCHS} AS e, {_STEPS} AS s, item_id % 9 = 5 AS gone FROM benchmark), n AS (SELECT *, coalesce(e::VARCHAR, '<none>') AS scope FROM r)
+SELECT scope, rule, '' AS message FROM (SELECT scope, 'no_number' AS rule FROM n WHERE e IS NULL UNION ALL SELECT scope, 'beyond_end' FROM n WHERE s > 1500
+UNION ALL SELECT scope, 'off_boundary' FROM n WHERE s % 50 <> 0 OR e <> s // 50 UNION ALL SELECT scope, 'no_loss' FROM n WHERE gone
+UNION ALL SELECT e::VARCHAR, 'repeated' FROM n WHERE e IS NOT NULL GROUP BY e HAVING count(*) > 1
+UNION ALL SELECT i::VARCHAR, 'missing' FROM range(1, 31) t(i) WHERE i NOT IN (SELECT e FROM n WHERE e IS NOT NULL))""",
     "row_validation_failures": _rows_sql().replace("AS STRING", "AS VARCHAR"),
     "quarantine_failures": f"""WITH {_BANK} SELECT {_SCOPE} AS scope, 'split_provenance' AS rule, provenance AS message FROM bank WHERE split IN ('train', 'dev') AND provenance <> 'synthetic-generated'
 UNION ALL SELECT {_SCOPE}, 'repository_provenance', provenance FROM bank WHERE provenance <> 'synthetic-generated' UNION ALL {_CONFLICTS.format("family_id", "family_split", "bank")}""",

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.rng import draw
 from larkspan.operators import match, metrics
+from larkspan.operators.detect import detect
+from larkspan.operators.dimensions import HEALTH_PATTERNS
 from larkspan.operators.inject import bad_entities, inject
 
 
@@ -32,3 +34,9 @@ def test_half_overlap_is_the_boundary(spark):
     spans = lambda *s: [(a, b, "X") for a, b in s]
     row = spark.createDataFrame([(spans((0, 8), (20, 34), (40, 50)), spans((4, 12), (18, 40), (36, 44)))], f"t {kind}, p {kind}")
     assert row.select(F.size(match.match_threshold(F.col("t"), F.col("p"))).alias("n")).first().n == 2
+
+
+def test_context_words_raise_scores(spark):
+    rows = spark.createDataFrame([(1, "the member has HP-ABC123 now"), (2, "HP-ABC123"), (3, "voice print on file: BIO-EAR-A1B2C3D4"), (4, "the member left\nHP-ABC123")], "doc_id long, text string")
+    got = {r.doc_id: round(r.score, 2) for r in detect(rows, HEALTH_PATTERNS).where("category in ('HEALTH_PLAN_ID', 'BIOMETRIC_ID')").collect()}
+    assert got == {1: 1.0, 2: 0.85, 3: 1.0, 4: 0.85}
