@@ -151,6 +151,25 @@ def _redact_sql() -> str:
 
 
 _COUNT_ALL = " + ".join("len(regexp_extract_all(text, '{}'))".format(p.replace("'", "''")) for _, p, _ in COMMON_PATTERNS)
+
+
+def _resolved_sql() -> str:
+    """Spans of all recognisers with scores by context, the weak and safelisted left out, overlaps resolved greedily by recursion."""
+    parts, union = [], []
+    for i, (category, pattern, score, *words) in enumerate([*COMMON_PATTERNS, *FINANCE_PATTERNS]):
+        parts.append(sql.spans("documents", "doc_id", pattern, f"r{i}", keep="text"))
+        near = " OR ".join(f"contains(before, '{w}')" for w in words[0].split()) if words else "false"
+        line = "string_split(lower(substr(text, greatest(start - 50, 0) + 1, least(start, 50))), chr(10))[-1]"
+        union.append(f"SELECT doc_id, '{category}' AS category, start, \"end\", value, CASE WHEN {near} THEN least({score}::DOUBLE + 0.35::DOUBLE, 1.0) ELSE {score}::DOUBLE END AS score FROM (SELECT *, {line} AS before FROM r{i})")
+    return f"""WITH RECURSIVE {", ".join(parts)}, found AS ({" UNION ALL ".join(union)}),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, "end" - start DESC, start, "end", category, value) AS k FROM found
+ WHERE score >= 0.5 AND NOT list_contains(regexp_split_to_array(lower(value), '[^a-z0-9]+'), 'lorem')),
+go AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::STRUCT(s BIGINT, e BIGINT, k BIGINT)[] AS kept FROM ranked
+ UNION ALL SELECT g.doc_id, r.k, CASE WHEN len(list_filter(kept, lambda x: x.s < r."end" AND r.start < x.e)) > 0 THEN kept ELSE list_append(kept, {{'s': r.start, 'e': r."end", 'k': r.k}}) END FROM go g JOIN ranked r ON r.doc_id = g.doc_id AND r.k = g.k + 1),
+fin AS (SELECT doc_id, unnest(list_transform(arg_max(kept, k), lambda x: x.k)) AS k FROM go GROUP BY doc_id)
+SELECT doc_id, category, start, "end", value, score FROM ranked JOIN fin USING (doc_id, k)"""
+
+
 _CONV = [c for c in COMMON_PATTERNS if c[0] in ("EMAIL", "IP_ADDRESS", "PHONE")]
 
 ORACLES = {
@@ -162,6 +181,7 @@ SELECT lang, sum({_COUNT_ALL})::BIGINT AS n, sum(greatest(1, len(regexp_extract_
     "card_luhn_valid": f"""WITH {sql.spans('documents', 'doc_id', _BY_NAME['CARD'][1])}
 SELECT doc_id, value, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN substr(value, i, 1)::INT * 2 > 9 THEN substr(value, i, 1)::INT * 2 - 9 ELSE substr(value, i, 1)::INT * 2 END ELSE substr(value, i, 1)::INT END)) % 10 = 0 AS valid FROM s""",
     "redact_placeholders": _redact_sql(),
+    "detections_resolved": _resolved_sql(),
     "placeholder_parse_map": f"""WITH v AS (SELECT '[' || (['PERSON', 'EMAIL', 'CC', 'DOB', 'URL', 'ID', 'SECRET', 'A_B'])[i % 8 + 1] || '_' || i || CASE WHEN i % 3 = 2 THEN '' ELSE ']' END AS placeholder FROM range(24) t(i)),
 k AS (SELECT placeholder, nullif(regexp_extract(placeholder, '^\\[(.+)_([0-9]+)\\]$', 1), '') AS type FROM v)
 SELECT placeholder, type, {sql.mapped('type', PLACEHOLDER_TO_HIPAA)} AS hipaa, {sql.mapped('type', PLACEHOLDER_TO_GLBA)} AS glba FROM k""",
