@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.components import connected_components
+from larkspan.llm.skew import dealt_join, hot_keys
 from larkspan.session import discard, materialize
 
 BANDS, ROWS = 40, 5
@@ -92,7 +93,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
     common = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    pairs = materialize(pairs, "pairs")
+    total = pairs.count()
+    hot = {c: hot_keys(pairs.groupBy(c).agg(F.count("*").alias("many")), [c], total) for c in ("a", "b")}
+    both = dealt_join(dealt_join(pairs, left, hot["a"], ["a"], "b"), right, hot["b"], ["b"], "a")
+    return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def _close(a: str, b: str, percent: int):
@@ -100,12 +105,13 @@ def _close(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _leader_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _leader_pairs(members: DataFrame, percent: int, total: int) -> DataFrame:
     """(a, b): each bucket's most central member with every other one."""
     central = members.groupBy("id").agg(F.sum("size").alias("central"))
     ranked = members.join(central, "id")
-    lead = ranked.groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na")), F.struct("central", -F.col("id"))).alias("lead"))
-    return members.join(lead.select("key", "lead.a", "lead.na"), "key").where("a <> id").where(_close("n", "na", percent)).select("a", F.col("id").alias("b")).distinct()
+    lead = ranked.groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na")), F.struct("central", -F.col("id"))).alias("lead"), F.first("size").alias("many"))
+    hot = hot_keys(lead, ["key"], total)
+    return dealt_join(members, lead.select("key", "lead.a", "lead.na"), hot, ["key"], "id").where("a <> id").where(_close("n", "na", percent)).select("a", F.col("id").alias("b")).distinct()
 
 
 def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -120,7 +126,8 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     grams = sets.join(open_, "id").select("id", "n", "component", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
-    ranked = grams.join(often, "gram").groupBy("id", "n", "component").agg(F.sort_array(F.collect_set(F.struct("often", "gram"))).alias("all"))
+    total = sets.join(open_.select("id").distinct(), "id", "left_semi").agg(F.sum("n").alias("n")).first().n or 0
+    ranked = dealt_join(grams, often, hot_keys(often, ["gram"], total, "often"), ["gram"], "id").groupBy("id", "n", "component").agg(F.sort_array(F.collect_set(F.struct("often", "gram"))).alias("all"))
     ranked = ranked.withColumn("most", F.size(F.filter("all", lambda g: g["often"] > 1)))
     first = lambda per: (F.col("n") - F.ceil(F.col("n") * per) + 1).cast("int")
     overlap = 2.0 * percent / (100 + percent)
@@ -131,12 +138,13 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefix = prefix.where("one.often > 1").select("id", "n", "component", "most", F.col("one.gram").alias("gram"), (F.col("at") < F.col("short")).alias("as_smaller"))
     prefix = materialize(prefix, "prefix")
     shared = prefix.groupBy("gram", "component").agg(F.count("*").alias("many"))
-    kinds = shared.groupBy("gram").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-    few = prefix.join(kinds, "gram").where("component <> largest")
+    kinds = shared.groupBy("gram").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.count("*").alias("kinds"), F.sum("many").alias("many")).where("kinds > 1")
+    hot = hot_keys(kinds, ["gram"], prefix.count())
+    few = dealt_join(prefix, kinds, hot, ["gram"], "id").where("component <> largest")
     few = few.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "component", "most", "as_smaller")))
     reach = F.least("most", "x_most") * (100 + percent) >= percent * (F.col("n") + F.col("x_n"))
     role = F.when(F.col("x_n") > F.col("n"), F.col("as_smaller")).when(F.col("x_n") < F.col("n"), F.col("x_as_smaller")).otherwise(F.col("as_smaller") & F.col("x_as_smaller"))
-    pairs = few.join(prefix, "gram").where("component <> x_component").where(_close("n", "x_n", percent) & role & reach)
+    pairs = dealt_join(prefix, few, hot, ["gram"], "id").where("component <> x_component").where(_close("n", "x_n", percent) & role & reach)
     return pairs.select(F.greatest("id", "x_id").alias("a"), F.least("id", "x_id").alias("b")).distinct()
 
 
@@ -177,17 +185,18 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     else:
         rows = rows.withColumn("node", F.col("id"))
     known = rows.where("id is not null and n > 0").drop("id").withColumnRenamed("node", "id")
-    classes = materialize(known.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep")), "classes")
+    classes = materialize(known.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("many")), "classes")
 
     reps = known.join(classes.select("fp1", "fp2", "n", F.col("rep").alias("id")), ["fp1", "fp2", "n", "id"], "left_semi").dropDuplicates(["id", "fp1", "fp2"])
     banded = reps.select("id", "n", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(banded.join(buckets, "key"), "members")
+    total = classes.count() * BANDS
+    members = materialize(dealt_join(banded, buckets, hot_keys(buckets, ["key"], total, "size"), ["key"], "id"), "members")
 
     wanted = members.select("id").distinct()
     texts = _named(source, told).select(F.col("node").alias("id"), "text").join(wanted, "id", "left_semi")
     sets = materialize(texts.mapInArrow(_sets(k, long), "id long, n long, grams array<long>"), "sets")
-    links = materialize(_verified(_leader_pairs(members, percent), sets, percent), "links")
+    links = materialize(_verified(_leader_pairs(members, percent, total), sets, percent), "links")
     first = materialize(connected_components(links), "components")
 
     placed = members.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -204,7 +213,10 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     discard(members, sets, first, open_)
 
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "digest", "n", "fp1", "fp2").join(of_class, ["fp1", "fp2", "n"], "left")
+    named = rows.select("id", "digest", "n", "fp1", "fp2")
+    keys = ["fp1", "fp2", "n"]  # a class may hold much of the table
+    out = dealt_join(named.where("n > 0 and id is not null"), of_class, hot_keys(classes, keys, rows.count()), keys, "digest" if told is not None else "id", "left")
+    out = out.unionByName(named.where("n = 0 or id is null").withColumn("component", F.lit(None).cast("long")))
     if told is not None:  # a component's name is its least id, which its least node is not
         least = out.where("component is not null and id is not null").groupBy(F.col("component").alias("c")).agg(F.min("id").alias("least"))
         out = out.join(least, F.col("component") == F.col("c"), "left").drop("component", "c").withColumnRenamed("least", "component")
