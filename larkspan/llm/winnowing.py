@@ -20,6 +20,8 @@ from larkspan.llm.ranges import MAX_BLOCKS, block_of, range_bounds
 
 K, W = 16, 32
 _SHIFT = 32
+#: Windows of a text taken together.
+STEP = 1 << 16
 #: Documents to a block of neighbours.
 BLOCK_ROWS = 256
 
@@ -33,19 +35,32 @@ def _minima(values: Column, width: int, have: int = 1) -> Column:
     return let(wider, lambda v: _minima(v, width, have + step))
 
 
-def winnow(text: Column, offset: Column | None = None) -> Column:
-    """The kept grams of a text, packed, in order of place; places count from offset."""
+def winnow(text: Column, offset: Column | None = None, step: int = STEP) -> Column:
+    """The kept grams of a text, packed, in order of place; places count from offset.
+
+    Windows are taken `step` at a time, and what a stretch keeps is a small
+    part of its grams, so a long text's grams are never held at once.
+    """
 
     def packed(points: Column, first: Column) -> Column:
-        n = F.length(points)
-        ends = F.sequence(F.lit(1), F.greatest(n - (4 * K - 1), F.lit(1)), F.lit(4))  # places in bytes
-        return F.when(n > 0, F.transform(ends, lambda b: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substring(points, b, F.lit(4 * K))), 33), _SHIFT) - b - first)).otherwise(F.array().cast("array<bigint>"))
+        ends = F.sequence(F.lit(1), F.greatest(F.length(points) - (4 * K - 1), F.lit(1)), F.lit(4))  # places in bytes
+        return F.transform(ends, lambda b: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substring(points, b, F.lit(4 * K))), 33), _SHIFT) - b - first)
 
-    bound = F.struct(code_points(text).alias("points"), (F.lit(-1) if offset is None else offset * 4 - 1).cast("bigint").alias("first"))
-    grams = let(bound, lambda s: let(s["points"], lambda p: let(s["first"], lambda f: packed(p, f))))
     # a window's minimum repeats only in the windows right after it
     changes = lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1)))
-    return let(grams, lambda v: F.when(F.size(v) > 0, let(_minima(v, W), changes)).otherwise(v))
+
+    def stretch(points: Column, first: Column, at: Column) -> Column:
+        """What the windows from at, in bytes, keep."""
+        own = F.substring(points, at + 1, F.lit(4 * (step + K + W - 2)))
+        return let(let(let(own, lambda o: packed(o, first + at)), lambda v: _minima(v, W)), changes)
+
+    def whole(points: Column, first: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(points) - 4 * (K + W - 1), F.lit(0)), F.lit(4 * step))
+        kept = F.flatten(F.transform(starts, lambda at: stretch(points, first, at)))
+        return F.when(F.length(points) > 0, let(kept, changes)).otherwise(F.array().cast("array<bigint>"))
+
+    bound = F.struct(code_points(text).alias("points"), (F.lit(-1) if offset is None else offset * 4 - 1).cast("bigint").alias("first"))
+    return let(bound, lambda s: let(s["points"], lambda p: let(s["first"], lambda f: whole(p, f))))
 
 
 def place(kept: Column) -> Column:

@@ -19,7 +19,7 @@ from larkspan.llm.secrets import base_spans, guess_spans, scan_secrets
 from larkspan.llm.sharding import fill, shard_documents
 from larkspan.llm.url_filter import RULES, judge_urls, labelled_table
 from larkspan.llm.warc import read_warc, write_warc
-from larkspan.llm.winnowing import K, W, fingerprint_edits
+from larkspan.llm.winnowing import K, W, fingerprint, fingerprint_edits, winnow
 from larkspan.session import scratch_path
 
 ODD = [(1, None), (2, ""), (3, "one"), (3, "one"), (None, "null id text"), (4, "a b c d e f g"), (5, "a b c d e f g"), (6, " ".join(f"w{i}" for i in range(60_000))), (7, "  \n\t "), (8, "\U0001f600 é ß 日本語")]
@@ -166,6 +166,15 @@ def test_op8_against_brute_force(spark, sf, texts):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def test_op8_long_texts_in_stretches(spark):
+    rows = [(n, "".join(chr(97 + (i * i * 7 + i // 5) % 26) for i in range(n))) for n in (1, K - 1, K, K + W - 2, K + W - 1, K + W + 9, K + W + 10, 500, 1501)]
+    rows += [(2000, "ab" * 700), (2001, "\U0001f600z" * 400)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    for step in (1, 10, 64, 5000):
+        got = {r.id: r.f for r in docs.select("id", fingerprint(winnow(F.col("text"), step=step)).alias("f")).collect()}
+        assert got == {i: winnowed(t) for i, t in rows}
+
+
 def test_op8_odd_rows(spark):
     rows = fingerprint_edits(docs_of(spark)).collect()
     assert len(rows) == len(ODD) and {r.fingerprint for r in rows if not r.n_chars} == {""}
