@@ -110,6 +110,7 @@ def _leader_pairs(members: DataFrame, percent: int, total: int) -> DataFrame:
     central = members.groupBy("id").agg(F.sum("size").alias("central"))
     ranked = members.join(central, "id")
     lead = ranked.groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na")), F.struct("central", -F.col("id"))).alias("lead"), F.first("size").alias("many"))
+    lead = materialize(lead, "lead")
     hot = hot_keys(lead, ["key"], total)
     return dealt_join(members, lead.select("key", "lead.a", "lead.na"), hot, ["key"], "id").where("a <> id").where(_close("n", "na", percent)).select("a", F.col("id").alias("b")).distinct()
 
@@ -122,29 +123,40 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     any partner for the larger set, with a partner at least its own size for
     the smaller. Shingles that one set alone has cannot be common, which bounds
     the overlap from above. Of a shingle's components, the largest is paired
-    with the others only.
+    with the others only. A shingle joins the sets that have it in the smaller
+    one's prefix with those that have it in the larger one's: a shingle that is
+    in no set's shorter prefix, as one of a template that many texts fill, makes
+    no pair.
     """
     grams = sets.join(open_, "id").select("id", "n", "component", F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    often = materialize(grams.groupBy("gram").agg(F.count("*").alias("often")).where("often > 1"), "often")
     total = sets.join(open_.select("id").distinct(), "id", "left_semi").agg(F.sum("n").alias("n")).first().n or 0
     ranked = dealt_join(grams, often, hot_keys(often, ["gram"], total, "often"), ["gram"], "id").groupBy("id", "n", "component").agg(F.sort_array(F.collect_set(F.struct("often", "gram"))).alias("all"))
-    ranked = ranked.withColumn("most", F.size(F.filter("all", lambda g: g["often"] > 1)))
+    ranked = ranked.withColumn("most", F.size("all"))
     first = lambda per: (F.col("n") - F.ceil(F.col("n") * per) + 1).cast("int")
     overlap = 2.0 * percent / (100 + percent)
     # a hair less than the exact share, so that rounding can only lengthen a prefix
     ranked = ranked.where(F.col("most") >= F.floor(F.col("n") * (percent / 100 - 1e-9)))
-    lead = F.posexplode(F.slice("all", F.lit(1), first(percent / 100 - 1e-9))).alias("at", "one")
-    prefix = ranked.select("id", "n", "component", "most", lead, first(overlap - 1e-9).alias("short"))
-    prefix = prefix.where("one.often > 1").select("id", "n", "component", "most", F.col("one.gram").alias("gram"), (F.col("at") < F.col("short")).alias("as_smaller"))
+    # the n - most shingles that the set alone has come first, without rows of their own
+    alone = (F.col("n") - F.col("most")).cast("int")
+    lead = F.posexplode(F.slice("all", F.lit(1), F.greatest(first(percent / 100 - 1e-9) - alone, F.lit(0)))).alias("at", "one")
+    prefix = ranked.select("id", "n", "component", "most", lead, (first(overlap - 1e-9) - alone).alias("short"))
+    prefix = prefix.select("id", "n", "component", "most", F.col("one.gram").alias("gram"), (F.col("at") < F.col("short")).alias("as_smaller"))
     prefix = materialize(prefix, "prefix")
     shared = prefix.groupBy("gram", "component").agg(F.count("*").alias("many"))
     kinds = shared.groupBy("gram").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.count("*").alias("kinds"), F.sum("many").alias("many")).where("kinds > 1")
+    kinds = materialize(kinds, "kinds")
     hot = hot_keys(kinds, ["gram"], prefix.count())
-    few = dealt_join(prefix, kinds, hot, ["gram"], "id").where("component <> largest")
-    few = few.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "component", "most", "as_smaller")))
+    placed = materialize(dealt_join(prefix, kinds.select("gram", "largest"), hot, ["gram"], "id"), "placed")
+    discard(often, prefix, kinds)
+    named = lambda rows: rows.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "component", "most")))
+    small, few = F.col("as_smaller"), F.col("component") != F.col("largest")
+    # (larger, smaller): one of the two is outside the gram's largest component
+    either = [(placed, placed.where(small & few)), (placed.where(few), placed.where(small & ~few))]
     reach = F.least("most", "x_most") * (100 + percent) >= percent * (F.col("n") + F.col("x_n"))
-    role = F.when(F.col("x_n") > F.col("n"), F.col("as_smaller")).when(F.col("x_n") < F.col("n"), F.col("x_as_smaller")).otherwise(F.col("as_smaller") & F.col("x_as_smaller"))
-    pairs = dealt_join(prefix, few, hot, ["gram"], "id").where("component <> x_component").where(_close("n", "x_n", percent) & role & reach)
+    role = (F.col("x_n") < F.col("n")) | (F.col("x_n") == F.col("n")) & small
+    found = [dealt_join(large, named(one), hot, ["gram"], "id").where("component <> x_component").where(_close("n", "x_n", percent) & role & reach) for large, one in either]
+    pairs = found[0].union(found[1])
     return pairs.select(F.greatest("id", "x_id").alias("a"), F.least("id", "x_id").alias("b")).distinct()
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from larkspan.llm import near_dedup as module
 from larkspan.llm.components import connected_components
 from larkspan.llm.near_dedup import near_dedup
 from larkspan.llm.skew import PARTS, dealt_join, hot_keys
@@ -43,3 +44,39 @@ def test_op6_a_third_of_the_rows_in_one_class_and_one_cluster(spark):
     for i, _ in docs:
         want = 0 if i < 5000 else i
         assert got[i] == (want, i == want)
+
+
+def test_telling_hot_keys_joins_nothing(spark):
+    """Hot keys were looked up by a left join on either side, whose rows grew with the table."""
+    rows = spark.range(6000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    others = spark.range(3).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    hot = hot_keys(rows.groupBy("k").agg(F.count("*").alias("many")), ["k"], 6000)
+    got = dealt_join(rows, others, hot, ["k"], "v")
+    assert got._jdf.queryExecution().analyzed().toString().count("Join ") == 1
+    assert got.count() == 6000
+
+
+def test_texts_that_fill_one_template_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Four shingles of five in common (similarity 4 / 6): all are open classes, and a common shingle is in the longer prefix of each."""
+    compared, joined = [], module.dealt_join
+
+    def counted(rows, others, hot, keys, *more):
+        if keys == ["gram"] and "x_id" in others.columns:
+            compared.append(rows.join(others, keys).count())
+        return joined(rows, others, hot, keys, *more)
+
+    monkeypatch.setattr(module, "dealt_join", counted)
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat('w1 w2 w3 w4 w5 w6 w7 w8 x', id) AS text")
+    assert near_dedup(docs, k=5).where("kept").count() == 600
+    assert compared and sum(compared) < 6000
+
+
+def test_links_by_prefixes_are_those_of_all_pairs(spark):
+    """Sets of 4 to 12 of 16 shingles, each a component of its own or one of three large ones."""
+    rows = [(i, i if i % 4 else -(i % 3), sorted({(i * p + j * j * (1 + i % 5)) % 16 for j, p in enumerate([3, 5, 7, 11, 13] * 4)})[: 4 + i % 9]) for i in range(160)]
+    rows += [(200 + i, 200 + i, [*range(100, 110 + i % 3)]) for i in range(9)]
+    sets = spark.createDataFrame([(i, len(g), g) for i, _, g in rows], "id long, n long, grams array<long>")
+    open_ = spark.createDataFrame([(i, c) for i, c, _ in rows], "id long, component long")
+    got = {(r.a, r.b) for r in module._prefix_pairs(open_, sets, 80).collect()}
+    want = {(i, j) for i, c, g in rows for j, d, h in rows if i > j and c != d and 100 * len({*g} & {*h}) >= 80 * len({*g} | {*h})}
+    assert want <= got and len(want) > 100
