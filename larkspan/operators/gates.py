@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.bind import settled
-from larkspan.functions.text import canonical_unicode, char_ngrams, masked_text, word_ngrams
+from larkspan.functions.text import canonical_unicode, masked_text, word_ngrams
+from larkspan.operators.nearest import nearest, parts_of
 from larkspan.session import materialize
 
 # fixed values: closed vocabularies of a row
@@ -150,35 +151,36 @@ def masked_signatures(docs: DataFrame, spans_col: str, split_col: str = "split",
 def nearest_jaccard(dev: DataFrame, train: DataFrame, n: int = 5, id_col: str = "id", signature_col: str = "signature") -> DataFrame:
     """(id, similarity): for each row of dev, the greatest Jaccard similarity of its signature's shingles with any train signature's, 0 if none shares one.
 
-    Exact and whole: shared shingles of all distinct signatures are counted.
-    Two empty signatures are alike. Null signatures take no part.
+    Exact and whole: shared shingles of all distinct dev signatures with every
+    train signature are counted, in the task that reads the latter. Dev is
+    read several times, train once, or written first if dev takes several
+    parts. Two empty signatures are alike. Null signatures take no part.
     """
     key = F.unhex(F.md5(F.col(signature_col).cast("binary")))
+    rows = dev.where(F.col(signature_col).isNotNull()).withColumn("key", key)
+    few = rows.groupBy("key").agg(F.first(signature_col).alias("text"))
+    many = train.select(signature_col)
+    parts = parts_of(few)
+    best = nearest(few, materialize(many, "near") if parts > 1 else many, n, parts)
+    return rows.select(id_col, "key").join(best, "key", "left").select(id_col, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
-    def shingled(side: DataFrame, name: str) -> DataFrame:
-        texts = side.where(F.col(signature_col).isNotNull()).groupBy(key.alias(name)).agg(F.first(signature_col).alias("s"))
-        grams = F.when(F.col("s") == "", F.array(F.lit(""))).otherwise(char_ngrams(F.col("s"), n))
-        texts = texts.select(name, grams.alias("g"))
-        # the size is read after the grams stand in a column: within one projection they would be made twice
-        return texts.select(name, F.size("g").alias(f"n_{name}"), F.explode("g").alias("g"))
 
-    shared = shingled(train, "b").join(shingled(dev, "a"), "g").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    best = shared.groupBy("a").agg(F.max(F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).alias("similarity"))
-    rows = dev.where(F.col(signature_col).isNotNull()).select(id_col, key.alias("a"))
-    return rows.join(best, "a", "left").select(id_col, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+def signatures(rows: DataFrame, canon=canonical_unicode) -> DataFrame:
+    """The rows of train and dev with their masked signature, none where a span does not lie in the text."""
+    off = lambda s: s["start"].isNull() | s["end"].isNull() | (s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length("text"))
+    right = F.col("text").isNotNull() & F.col("spans").isNotNull() & ~F.coalesce(F.exists("spans", off), F.lit(False))
+    out = rows.where(F.col("split").isin("train", "dev"))
+    out = settled(out, "__masked", F.when(right, masked_text(F.col("text"), F.when(right, F.col("spans")))))
+    return out.withColumn("signature", canon(F.col("__masked"))).drop("__masked")
 
 
 def signed_rows(rows: DataFrame, canon=canonical_unicode) -> DataFrame:
-    """The rows of train and dev with their canonical text and masked signature; no signature where a span does not lie in the text.
+    """The rows of signatures() with the canonical text as well.
 
     Written to the shared folder, since the gate reads it many times and each
     reading would mask and normalise all texts anew.
     """
-    off = lambda s: s["start"].isNull() | s["end"].isNull() | (s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length("text"))
-    right = F.col("text").isNotNull() & F.col("spans").isNotNull() & ~F.coalesce(F.exists("spans", off), F.lit(False))
-    out = rows.where(F.col("split").isin("train", "dev"))
-    out = settled(out, "__masked", F.when(right, masked_text(F.col("text"), F.when(right, F.col("spans")))))
-    return materialize(out.withColumn("canonical", canon(F.col("text"))).withColumn("signature", canon(F.col("__masked"))).drop("__masked"), "signed")
+    return materialize(signatures(rows, canon).withColumn("canonical", canon(F.col("text"))), "signed")
 
 
 def _sides(signed: DataFrame) -> tuple[DataFrame, DataFrame]:

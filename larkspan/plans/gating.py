@@ -111,7 +111,7 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = gates.signed_rows(split_rows(spark, sf_dir))
+    signed = gates.signatures(split_rows(spark, sf_dir)).select("id", "split", "signature")
     near = gates.nearest_jaccard(signed.where("split = 'dev'"), signed.where("split = 'train'"))
     return near.select("id", (F.floor(F.col("similarity") * 1e6 + 0.5) / 1e6).alias("similarity"))
 
