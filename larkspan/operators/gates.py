@@ -175,12 +175,15 @@ def signatures(rows: DataFrame, canon=canonical_unicode) -> DataFrame:
 
 
 def signed_rows(rows: DataFrame, canon=canonical_unicode) -> DataFrame:
-    """The rows of signatures() with the canonical text as well.
+    """The rows of signatures() with no_text, and the digests canonical (of the canonical text) and masked (of the signature) in place of text and spans.
 
     Written to the shared folder, since the gate reads it many times and each
-    reading would mask and normalise all texts anew.
+    reading would mask and normalise all texts anew. Of a row's texts only the
+    signature is written.
     """
-    return materialize(signatures(rows, canon).withColumn("canonical", canon(F.col("text"))), "signed")
+    digest = lambda c: F.md5(c.cast("binary"))
+    out = signatures(rows, canon).withColumns({"no_text": F.col("text").isNull(), "canonical": digest(canon(F.col("text"))), "masked": digest(F.col("signature"))})
+    return materialize(out.drop("text", "spans"), "signed")
 
 
 def _sides(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -188,7 +191,7 @@ def _sides(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split_integrity_failures(signed: DataFrame) -> DataFrame:
-    """Failures of rows of signed_rows (id, text, spans, split, family_id, template_lineage).
+    """Failures of rows of signed_rows (of id, text, spans, split, family_id, template_lineage).
 
     An empty side; texts and masked signatures repeated or in both splits;
     lineages in both splits or missing; fewer signatures than families; and
@@ -197,16 +200,16 @@ def split_integrity_failures(signed: DataFrame) -> DataFrame:
     whole = F.lit("split-integrity")
     name = F.coalesce(F.col("id").cast("string"), F.lit("<no-id>"))
     lineage = F.coalesce("template_lineage", F.lit(""))
-    has = F.col("signature").isNotNull()
+    has = F.col("masked").isNotNull()
     each = _explode_failures(
         signed,
         name,
-        [("no_text", F.col("text").isNull(), F.lit("")), ("masked_signature", F.col("text").isNotNull() & ~has, F.lit("")), ("missing_lineage", has & (lineage == ""), F.lit(""))],
+        [("no_text", F.col("no_text"), F.lit("")), ("masked_signature", ~F.col("no_text") & ~has, F.lit("")), ("missing_lineage", has & (lineage == ""), F.lit(""))],
     )
     totals = signed.agg(
         F.count_if(F.col("split") == "train").alias("train"),
         F.count_if(F.col("split") == "dev").alias("dev"),
-        F.countDistinct("signature").alias("signatures"),
+        F.countDistinct("masked").alias("signatures"),
         F.countDistinct(F.when(has & (F.col("family_id") != ""), F.col("family_id"))).alias("families"),
     )
     refuse = F.lit("refusing to pass fail-open")
@@ -218,12 +221,12 @@ def split_integrity_failures(signed: DataFrame) -> DataFrame:
 
     def groups(col: str) -> DataFrame:
         """(first_id, n, splits) of each value of a column."""
-        by = signed.where(F.col(col).isNotNull()).groupBy(F.md5(F.col(col).cast("binary")).alias("key"))
+        by = signed.where(F.col(col).isNotNull()).groupBy(col)
         return by.agg(F.count("*").alias("n"), F.countDistinct("split").alias("splits"), F.min(name).alias("first_id"))
 
     many = F.concat_ws(":", "first_id", "n")
     copies = _explode_failures(groups("canonical"), whole, [("canonical_overlap", F.col("splits") > 1, many), ("canonical_copies", (F.col("n") > 1) & (F.col("splits") == 1), many)])
-    masked = _explode_failures(groups("signature"), whole, [("masked_overlap", F.col("splits") > 1, many), ("masked_copies", F.col("n") > MASKED_COPIES, many)])
+    masked = _explode_failures(groups("masked"), whole, [("masked_overlap", F.col("splits") > 1, many), ("masked_copies", F.col("n") > MASKED_COPIES, many)])
     crossing = family_conflicts(signed.where(has), "template_lineage", "lineage_split")
     near = nearest_jaccard(*_sides(signed)).where(F.col("similarity") >= NEAR_CEILING)
     near = near.select(name.alias("scope"), F.lit("near_train").alias("rule"), F.format_number("similarity", 4).alias("message"))
@@ -232,9 +235,8 @@ def split_integrity_failures(signed: DataFrame) -> DataFrame:
 
 def split_integrity_stats(signed: DataFrame) -> DataFrame:
     """One row: rows of each side, distinct texts and signatures, most copies of one, and the nearest similarities of all dev rows."""
-    key = lambda c: F.md5(F.col(c).cast("binary"))
-    sums = signed.agg(F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "dev").alias("dev_rows"), F.countDistinct(key("canonical")).alias("canonical_distinct"))
-    masked = signed.where("signature is not null").groupBy(key("signature").alias("k")).count().agg(F.count("*").alias("masked_distinct"), F.coalesce(F.max("count"), F.lit(0)).alias("masked_multiplicity_max"))
+    sums = signed.agg(F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "dev").alias("dev_rows"), F.countDistinct("canonical").alias("canonical_distinct"))
+    masked = signed.where("masked is not null").groupBy("masked").count().agg(F.count("*").alias("masked_distinct"), F.coalesce(F.max("count"), F.lit(0)).alias("masked_multiplicity_max"))
     at = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY similarity)"), F.lit(0.0))
     near = nearest_jaccard(*_sides(signed)).agg(at(0.5).alias("near_p50"), at(0.95).alias("near_p95"), F.coalesce(F.max("similarity"), F.lit(0.0)).alias("near_max"), F.count_if(F.col("similarity") >= NEAR_TAIL).alias("dev_ge_080"))
     return sums.crossJoin(masked).crossJoin(near)

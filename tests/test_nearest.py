@@ -49,3 +49,12 @@ def test_nearest_writes_no_texts(spark, sf, monkeypatch):
 
     monkeypatch.setattr(gates, "materialize", refuse)
     assert gating.nearest_jaccard(spark, sf).count() == 40
+
+
+def test_signed_rows_hold_one_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(gates, "materialize", lambda df, name: df.coalesce(1).write.parquet(f"{tmp_path}/{name}") or spark.read.parquet(f"{tmp_path}/{name}"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(str(i), "".join(DRAW.choices(letters, k=20_000)), [], "train" if i % 2 else "dev", "f", "l") for i in range(50)]
+    signed = gates.signed_rows(spark.createDataFrame(rows, "id string, text string, spans array<struct<start:int,end:int>>, split string, family_id string, template_lineage string"))
+    assert signed.count() == 50 and sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 1.2 * 50 * 20_000
+    assert {f.rule for f in gates.split_integrity_failures(signed).collect()} == {"lineage_split"}
